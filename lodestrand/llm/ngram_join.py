@@ -7,12 +7,14 @@
    size, and as rarest of all it stands first in the order (frequency, hash).
 3. A set of n can only be linked if its least frequent n - ceil(t n) + 1 n-grams, its prefix, hold
    one that a partner's prefix holds. Sets whose prefix is all single n-grams are done.
-4. Star rounds: sets choose one prefix n-gram by a hash, as similar sets mostly do alike, and are
-   compared with the smallest set that chose the same. Links make components.
-5. Last, wherever the prefix lists of an n-gram meet in different components, the sets outside the
-   list's largest component are paired with all sets of other components (length and positional
-   filter in the join), each pair once, and verified once (suffix filter, then the intersection).
-   Pairs inside one component need no test: they change no component.
+4. Star rounds: in every list of sets that share a prefix n-gram, sets outside the list's largest
+   component are compared with one of that component's sets, a few lists for each set and round.
+   Links make components, so that lists of similar sets shrink to one component and need no pairs.
+5. Last, wherever a list still meets several components, every set outside the largest is compared
+   with those it could link to: with a whole component at once, both packed in blocks of sets,
+   where its lists hold much of that component; else as pairs, which pass the length and
+   positional filters in the join, arise in one shared list, and are verified once (suffix filter,
+   then the intersection). Pairs inside one component need no test: they change no component.
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ from lodestrand.llm.components import connected
 
 WORDS, PERCENT = 5, 75
 #: N-grams in a block of documents that is packed together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
+#: Star rounds at most, ended earlier by one that ties under 1% of the sets; lists a set is compared in in a round.
+ROUNDS, CHOICES = 4, 4
+#: Sets in a block that is compared with another block; n-grams by which two sets agree on one shared list.
+PACK, SKETCH = 64, 16
 #: Fixed odd multipliers of the words' places.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -212,15 +218,12 @@ def _assembler(percent: int):
 
 def _entries(batches):
     """A row for each n-gram of a prefix, with its place among the set's common n-grams."""
-    names = ["h", "digest", "n", "singles", "at", "chosen_low", "chosen_high"]
+    names = ["h", "digest", "n", "singles", "at"]
     for batch in batches:
         for digest, n, singles, prefix in zip(*(c.to_pylist() for c in batch.columns)):
             h = np.frombuffer(prefix, np.uint64).view(np.int64)
-            k = len(h)
-            low, high = np.zeros(k, bool), np.zeros(k, bool)
-            low[np.argmin(h)] = high[np.argmax(h)] = True
-            fill = lambda v, t: pa.array([v] * k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(h), fill(digest, pa.binary()), fill(n, pa.int32()), fill(singles, pa.int32()), pa.array(np.arange(k, dtype=np.int32)), pa.array(low), pa.array(high)], names)
+            fill = lambda v, t: pa.array([v] * len(h), t)
+            yield pa.RecordBatch.from_arrays([pa.array(h), fill(digest, pa.binary()), fill(n, pa.int32()), fill(singles, pa.int32()), pa.array(np.arange(len(h), dtype=np.int32))], names)
 
 
 #: Cuts of the hash space for the suffix filter.
@@ -255,6 +258,99 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_verifier(percent), "a binary, b binary")
 
 
+def _block_verifier(percent: int):
+    """Links between two blocks of sets: the members' n-grams are sorted once, each other set looks its own up."""
+
+    def run(batches):
+        for batch in batches:
+            for ours, theirs in zip(batch.column(0), batch.column(1)):
+                ours, theirs = ours.as_py(), theirs.as_py()
+                sets = [np.frombuffer(t["members"], np.uint64) for t in theirs]
+                sizes = np.array([t["n"] for t in theirs], np.int64)
+                hashes = np.concatenate(sets)
+                order = np.argsort(hashes, kind="stable")
+                hashes, owner = hashes[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+                a, b = [], []
+                for o in ours:
+                    mine = np.frombuffer(o["members"], np.uint64)
+                    low, high = np.searchsorted(hashes, mine), np.searchsorted(hashes, mine, side="right")
+                    hits = owner[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())]
+                    both = np.bincount(hits, minlength=len(sets))
+                    for i in np.flatnonzero(100 * both >= percent * (sizes + o["n"] - both)):
+                        a.append(o["digest"])
+                        b.append(theirs[i]["digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _with_root(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
+    """Adds ``root``: the node's component, itself if it has none."""
+    if forest is None:
+        return rows.withColumn("root", F.col("digest"))
+    return rows.join(forest.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+
+def _live(entries: DataFrame, forest: DataFrame | None, turn: int) -> DataFrame:
+    """Entries of the lists that meet several components, with ``main``: the list's largest component, its size in the list, and one of its sets, another each turn."""
+    rows = _with_root(entries, forest)
+    cells = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("digest", "n"), F.xxhash64("digest", F.lit(turn))).alias("p"))
+    lists = cells.groupBy("h").agg(F.max_by(F.struct("root", "k", "p.digest", "p.n"), F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    return rows.join(lists.where("roots > 1").select("h", "main"), "h")
+
+
+def _stars(live: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): sets outside their lists' largest component with a set of it, in CHOICES lists."""
+    outside = live.where(f"root <> main.root and 100L * least(n, main.n) >= {percent}L * greatest(n, main.n)")
+    order = F.array_sort(F.collect_list(F.struct(F.xxhash64("h", F.lit(turn)).alias("o"), F.col("main.digest").alias("d"))))
+    chosen = outside.groupBy("digest").agg(F.slice(F.array_distinct(F.transform(order, lambda x: x["d"])), 1, CHOICES).alias("ds"))
+    return chosen.select("digest", F.explode("ds").alias("d")).select(F.least("digest", "d").alias("a"), F.greatest("digest", "d").alias("b")).distinct()
+
+
+def _packed(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(root, name): sets (digest, root) in blocks of about PACK."""
+    count = rows.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / PACK).cast("bigint"))
+    rows = rows.join(count, "root").withColumn("part", part).join(nodes.select("digest", "n", "members"), "digest")
+    return rows.groupBy("root", "part").agg(F.collect_list(F.struct("digest", "n", "members")).alias(name)).drop("part")
+
+
+def _last_links(live: DataFrame, nodes: DataFrame, forest: DataFrame, tested: DataFrame, percent: int, paths: list[str]) -> DataFrame:
+    """(a, b): links between components that remain."""
+    outside = live.where("root <> main.root")
+    sizes = forest.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
+    reach = outside.groupBy("digest", F.col("main.root").alias("root")).agg(F.sum("main.k").alias("met")).join(sizes, "root", "left")
+    reach, path = store.settle(reach.select("digest", "root", (F.col("met") >= F.coalesce("size", F.lit(1))).alias("dense")), "ngram-reach")
+    paths.append(path)
+    dense = reach.where("dense").select("digest", "root")
+    members = _with_root(nodes.select("digest"), forest).join(dense.select("root").distinct(), "root", "left_semi")
+    blocks = _packed(dense, nodes, "ours").join(_packed(members, nodes, "theirs"), "root").select("ours", "theirs")
+    links, path = store.settle(blocks.mapInArrow(_block_verifier(percent), "a binary, b binary"), "ngram-links")
+    paths.append(path)
+
+    sketch = live.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SKETCH).alias("sketch"))
+    sided = live.join(sketch, "digest")
+    thin = reach.where("not dense").select("digest", F.col("root").alias("main_root"), F.lit(True).alias("thin"))
+    x = sided.where("root <> main.root").withColumn("main_root", F.col("main.root")).join(thin, ["digest", "main_root"], "left").withColumn("thin", F.coalesce("thin", F.lit(False))).alias("x")
+    # n-grams before this one that both can hold, this one, and those behind it
+    bound = "(least(x.at, y.at) + 1 + least(x.n - x.singles - x.at, y.n - y.singles - y.at) - 1)"
+    meet = f"""x.h = y.h and x.root <> y.root and ((y.root = x.main_root and x.thin) or (y.root <> x.main_root and x.digest < y.digest))
+        and 100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) and {100 + percent}L * {bound} >= {percent}L * (x.n + y.n)
+        and coalesce(x.h = array_min(array_intersect(x.sketch, y.sketch)), true)"""
+    pairs = x.join(sided.alias("y"), F.expr(meet)).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+    pairs, path = store.settle(pairs.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+    paths.append(path)
+    return links.unionByName(_verified(pairs, nodes, percent))
+
+
+def _grow(forest: DataFrame | None, links: DataFrame, paths: list[str]) -> DataFrame:
+    """Components of the forest so far and more links."""
+    edges = links if forest is None else links.unionByName(forest.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    grown, path = connected(edges)
+    paths.append(path)
+    return grown
+
+
 def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id``; ``doc_id`` is the identifier as bigint.
 
@@ -273,27 +369,30 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets, sets_path = store.settle(answered.groupBy("block").applyInArrow(_assembler(percent), _SETS), "ngram-sets")
     first = [F.first(c).alias(c) for c in ("n", "singles", "prefix", "members")]
     nodes, nodes_path = store.settle(sets.where("prefix is not null").select("digest", "n", "singles", "prefix", "members").groupBy("digest").agg(*first), "ngram-nodes")
-    entries, entries_path = store.settle(nodes.select("digest", "n", "singles", "prefix").mapInArrow(_entries, "h bigint, digest binary, n int, singles int, at int, chosen_low boolean, chosen_high boolean"), "ngram-prefixes")
-    paths = [sets_path, nodes_path, entries_path]
-
-    forest, tested = None, None
-    for rule in ("chosen_low", "chosen_high"):
-        chosen = _with_root(entries.where(rule).select("h", "digest", "n"), forest)
-        pivots = chosen.groupBy("h").agg(F.min_by(F.struct("digest", "n", "root"), F.struct("n", "digest")).alias("p"))
-        stars = chosen.join(pivots, "h").where("root <> p.root and 100L * p.n >= %dL * n" % percent)
-        stars = stars.select(F.least("digest", "p.digest").alias("a"), F.greatest("digest", "p.digest").alias("b")).distinct()
-        stars, path = store.settle(stars, "ngram-stars")
+    entries = nodes.select("digest", "n", "singles", "prefix").mapInArrow(_entries, "h bigint, digest binary, n int, singles int, at int")
+    paths, columns = [sets_path, nodes_path], entries.columns
+
+    forest, tested, tied, n_nodes = None, None, 0, nodes.count()
+    for turn in range(ROUNDS):
+        live, path = store.settle(_live(entries, forest, turn), "ngram-live")
+        paths.append(path)
+        entries = live.select(*columns)  # a list of one component stays one
+        stars = _stars(live, percent, turn)
+        stars, path = store.settle(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "ngram-stars")
         paths.append(path)
         tested = stars if tested is None else tested.unionByName(stars)
         forest = _grow(forest, _verified(stars, nodes, percent), paths)
-    rest, path = store.settle(_crossing(_with_root(entries, forest), percent).join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        before, tied = tied, forest.count()
+        if 100 * (tied - before) < n_nodes:
+            break
+    live, path = store.settle(_live(entries, forest, ROUNDS), "ngram-live")
     paths.append(path)
-    forest = _grow(forest, _verified(rest, nodes, percent), paths)
+    forest = _grow(forest, _last_links(live, nodes, forest, tested, percent, paths), paths)
 
     least = sets.where("digest is not null").select("digest", F.array_min(F.filter("ids", lambda x: x.isNotNull())).alias("low")).groupBy("digest").agg(F.min("low").alias("low"))
-    tied = _with_root(least, forest)
-    roots = tied.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = tied.join(roots, "root").select("digest", "component_id")
+    rooted = _with_root(least, forest)
+    roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_set = rooted.join(roots, "root").select("digest", "component_id")
     # a set's copies are still lists, a few rows a set, when they are joined
     out = sets.select("digest", "n", "ids").join(of_set, "digest", "left").select(F.explode("ids").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.col("digest").isNull().alias("alone"), "component_id")
     done, _ = store.settle(out.select("doc_id", "n_shingles", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "ngram-components")
@@ -301,33 +400,6 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done
 
 
-def _with_root(rows: DataFrame, forest: DataFrame | None) -> DataFrame:
-    """Adds ``root``: the node's component, itself if it has none."""
-    if forest is None:
-        return rows.withColumn("root", F.col("digest"))
-    return rows.join(forest.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-
-
-def _grow(forest: DataFrame | None, links: DataFrame, paths: list[str]) -> DataFrame:
-    """Components of the forest so far and more links."""
-    edges = links if forest is None else links.unionByName(forest.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    grown, path = connected(edges)
-    paths.append(path)
-    return grown
-
-
-def _crossing(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components whose prefixes share an n-gram and that pass the length and positional filters."""
-    cells = entries.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
-    lists = cells.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", "main")
-    live = entries.join(lists, "h").select("h", "digest", "root", "n", "singles", "at", "main")
-    x, y = live.where("root <> main").alias("x"), live.alias("y")
-    # n-grams before this one that both can hold, this one, and those behind it
-    bound = "(least(x.at, y.at) + 1 + least(x.n - x.singles - x.at, y.n - y.singles - y.at) - 1)"
-    meet = f"x.h = y.h and x.root <> y.root and (y.root = y.main or x.digest < y.digest) and 100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) and {100 + percent}L * {bound} >= {percent}L * (x.n + y.n)"
-    return x.join(y, F.expr(meet)).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the row of the smallest identifier of every component; all rows of a component without identifiers, and all rows that repeat a kept identifier, stay."""
     found = linked_sets(docs, id_col, text_col, words, percent)
