@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.llm import store
 
@@ -32,7 +33,7 @@ class Profiles:
     changes no result as every vector depends only on seed and letters.
     """
 
-    def __init__(self, dim: int = DIM, seed: int = SEED, max_grams: int = 40_000):
+    def __init__(self, dim: int = DIM, seed: int = SEED, max_grams: int = 12_000):
         self.dim, self.seed, self.max_grams = dim, seed, max_grams
         self.symbol_of = np.full(0x110000, -1, np.int32)
         self.letters = [self._letter(0x20)]  # symbol 0 is the gap between words
@@ -43,7 +44,7 @@ class Profiles:
 
     def _start(self) -> None:
         self.row_of: dict[int, int] = {}
-        self.rows = np.zeros((1024, self.dim), np.float32)
+        self.rows = np.zeros((1024, self.dim), np.int8)
 
     def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -97,7 +98,7 @@ class Profiles:
                 dense = np.zeros((len(places), len(used)), np.float32)
                 for i, p in enumerate(places):
                     dense[i, np.searchsorted(used, p)] = counted[some + i][1]
-                out[some:at] = dense @ self.rows[used]
+                out[some:at] = dense @ self.rows[used].astype(np.float32)
         return out
 
 
@@ -116,7 +117,7 @@ def _bundled(texts: Iterator[str], made: Profiles, chars: int = 2 << 20) -> Iter
     held, size = [], 0
     for text in texts:
         held.append(made.grams(text))
-        size += len(text)
+        size += len(text) + made.dim  # a vector takes room too
         if size >= chars:
             yield from made.bundle(held)
             held, size = [], 0
@@ -176,13 +177,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     names = sorted(prototypes)
     matrix = np.array([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in names]).reshape(len(names), dim)
 
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches):
         from lodestrand.llm.language_id import _bundled, profiles
 
         made = profiles(dim, seed)
-        for column in texts:
+        for batch in batches:
             lang, score = [], []
-            for vector in _bundled((x.as_py() or "" for x in column), made):
+            for vector in _bundled((x.as_py() or "" for x in batch.column(batch.num_columns - 1)), made):
                 size = np.linalg.norm(vector)
                 if not size or not names:
                     lang.append(UNKNOWN)
@@ -192,10 +193,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 best = int(np.argmax(cosines.round(12)))
                 lang.append(names[best])
                 score.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
-
-    udf = F.arrow_udf(run, "lang_pred string, score double")
-    return docs.select("*", udf(F.col(text_col).cast("string")).alias("language"))
+            found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+            columns = [*batch.columns[:-1], found]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    # columns go by place, as names may be anything
+    placed = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in placed.schema], T.StructField(f"c{len(docs.columns)}", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
+    texts = placed.select("*", F.col(f"c{docs.columns.index(text_col)}").cast("string").alias("text"))
+    return texts.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([*docs.columns, "language"])])
 
 
 def held_out(doc_id: Column) -> Column:
