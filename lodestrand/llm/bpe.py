@@ -1,13 +1,15 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, with streaming decoding.
 
 BPE splits a string in one way only, and a sequence of tokens is that split exactly when each two
-neighbours are (merging their joined bytes gives the two back). So the split of every prefix is
-known from one token per position: the last one. The transducer reads byte by byte. Its state is
-what later output can depend on: the bytes behind the last emitted token, with the last token of
-the split at each of those positions. A position dies when no longer token can start there; as
-soon as all living positions agree on their first pending token, that token is emitted. Tokens
-have a longest length, so the lookahead is bounded. States and transitions are made when first
-met and kept in a table of bounded size, which is emptied when full.
+neighbours are (merging their joined bytes gives the two back). So every prefix of a string has one
+split, and the transducer only has to know the tokens that may still turn out to be next. It reads
+byte by byte. Its state is the token emitted last and a set of hypotheses: tokens that are split
+off but not certain, and bytes behind them that begin some token. A byte lengthens each
+hypothesis, ends a token where the bytes are one that can stand behind the token before it, and
+ends the hypothesis where no token begins so. As soon as all hypotheses agree on their next token
+it is emitted; tokens have a longest length, so the lookahead is bounded. States and transitions
+are made when first met and kept in tables of bounded size; what a full table lacks is computed
+again each time.
 """
 
 from __future__ import annotations
@@ -29,125 +31,167 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
-def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The definition: join the neighbours of the least rank, leftmost first, until none can be."""
+def merged(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[bytes]:
+    """The definition: join the neighbours of the least rank, leftmost first, until none can be, or ``stop`` parts are left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > stop:
         best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
         if best is None:
             break
         i = best[1]
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    return parts
+
+
+def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    return [ranks[p] for p in merged(piece, ranks)]
 
 
 class Transducer:
     """Bytes in, token ids out. ``max_states`` bounds the table of states."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pairs: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 120_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {r: t for t, r in ranks.items()}
-        # the proper prefixes of tokens: a position lives while what follows it is one of these
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.longest = max(map(len, ranks))
-        # a token that its own merges don't rebuild never appears
-        self.real = {t for t in ranks if merge_by_rank(t, ranks) == [ranks[t]]}
+        # a token's last merge; a token that its own merges don't rebuild never appears
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.real = {t: r for t, r in ranks.items() if len(t) == 1 or self._halve(t, r)}
+        # what the bytes of a hypothesis may be: a token (its rank, else -1), whether a longer token begins so, and the bytes
+        self.known = {t[:i]: (-1, True, t[:i]) for t in self.real for i in range(1, len(t))}
+        self.known |= {t: (r, t in self.known, t) for t, r in self.real.items()}
+        self.real = None
+        self.single = [bytes((i,)) for i in range(256)]
         self.pairs: dict[tuple[int, int], bool] = {}
+        # a state: the last token emitted (-1: none, or no hypothesis follows it at once), then tokens and bytes of each hypothesis
+        self.index: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        # a state is (pending bytes, last tokens): last[i] is the last token of the split up to pending position i;
-        # last[0] is the last token emitted, -1 at the start
-        self.index: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state((b"", (-1,)))
+        for table in (self.index, self.states, self.moves):  # emptied in place, as they may be in use
+            table.clear()
+        self.missed = 0
+        self._state((-1, (), b""))
 
     def _state(self, state: tuple) -> int:
+        """Its number; -1 if the table is full without it. A full table is emptied after many such states, as texts may have changed."""
         if (at := self.index.get(state)) is None:
+            if len(self.states) >= self.max_states:
+                self.missed += 1
+                if self.missed > 20 * self.max_states:
+                    self._clear()
+                return -1
             at = self.index[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
         return at
 
+    def _halve(self, token: bytes, rank: int) -> bool:
+        parts = merged(token, self.ranks, 2)
+        if len(parts) != 2:
+            return False
+        self.halves[rank] = self.ranks[parts[0]], self.ranks[parts[1]]
+        return True
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether the two tokens stay as they are side by side."""
         if a < 0:
             return True
         if (found := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= self.max_pairs:
-                self.pairs.clear()
-            found = self.pairs[a, b] = merge_by_rank(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            found = self._apart(a, b)
+            if len(self.pairs) < self.max_pairs:
+                self.pairs[a, b] = found
         return found
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Goes back through the merges of both, latest first: at no time may the parts beside the border have been joined before the merge that came next there.
+
+        Of merges of one rank the left one comes first: one inside ``a`` before that over the border, this before one inside ``b``.
+        """
+        limit, of, ranks, halves = 1 << 62, self.bytes_of, self.ranks, self.halves
+        while True:
+            over = ranks.get(of[a] + of[b])
+            if over is not None and over < limit:
+                return False
+            left, right = halves.get(a), halves.get(b)
+            if left is not None and (right is None or a > b):
+                limit, a = a, left[1]
+            elif right is not None:
+                limit, b = b + 1, right[0]
+            else:
+                return True
+
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """The state after one more byte, and the tokens that are certain now."""
-        pending, last = state[0] + bytes((byte,)), state[1]
-        n, chosen = len(pending), None
-        for start in range(max(0, n - self.longest), n):
-            if (t := pending[start:]) in self.real and last[start] is not None and self.compatible(last[start], self.ranks[t]):
-                chosen = self.ranks[t]
-                break
-        last = (*last, chosen)
-        living = [i for i in range(n) if last[i] is not None and pending[i:] in self.prefixes] + ([n] if chosen is not None else [])
-        if not living:
+        last, more, known = state[0], self.single[byte], self.known
+        kept, ended = [], None
+        for i in range(1, len(state), 2):
+            if (found := known.get(state[i + 1] + more)) is None:
+                continue
+            path, (rank, longer, rest) = state[i], found
+            if rank >= 0 and ended is None:
+                before = path[-1] if path else last
+                fits = self.pairs.get((before, rank))
+                if self.compatible(before, rank) if fits is None else fits:
+                    ended = (*path, rank)  # the one split up to here
+            if longer:
+                kept += (path, rest)
+        if ended is not None:
+            kept += (ended, b"")
+        elif not kept:
             raise ValueError("the ranks lack a single byte")
-        # the paths of the living positions, as the pending positions they pass
-        paths = []
-        for i in living:
-            path = []
-            while i:
-                path.append(i)
-                i -= len(self.bytes_of[last[i]])
-            paths.append(path[::-1])
-        cut, out = 0, []
-        for ends in zip(*paths):
-            if len(set(ends)) > 1:
-                break
-            cut = ends[0]
-            out.append(last[cut])
-        # positions that can no longer be reached from a living one are forgotten, so equal futures are equal states
-        keep = set(chain.from_iterable(paths)) | {cut}
-        return (pending[cut:], tuple(last[i] if i in keep else None for i in range(cut, n + 1))), tuple(out)
-
-    def _flush(self, state: tuple) -> list[int]:
-        pending, last = state
-        i, out = len(pending), []
-        while i:
-            out.append(last[i])
-            i -= len(self.bytes_of[last[i]])
-        return out[::-1]
+        first = kept[0]
+        if len(kept) == 2:  # all its tokens are certain
+            return (first[-1] if first else last, (), kept[1]), first
+        paths, n = kept[::2], 0
+        while n < len(first) and not [1 for p in paths if len(p) <= n or p[n] != first[n]]:
+            n += 1
+        if n:
+            last, paths = first[n - 1], [p[n:] for p in paths]
+            kept[::2] = paths
+        return (last if () in paths else -1, *kept), first[:n]
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        at = 0
+        at, state, get, step = 0, self.states[0], self.moves.get, self._step
         for byte in piece:
-            if (move := self.moves[at].get(byte)) is None:
-                state, tokens = self._step(self.states[at], byte)
-                if len(self.states) >= self.max_states:
-                    self._clear()
-                    move = self._state(state), tokens
+            if at >= 0:
+                move = get(at << 8 | byte)
+                if move is not None:
+                    at, tokens = move
                 else:
-                    move = self.moves[at][byte] = self._state(state), tokens
-            at = move[0]
-            if move[1]:
-                out += move[1]
-        return out + self._flush(self.states[at])
+                    state, tokens = step(self.states[at], byte)
+                    was, at = at, self._state(state)
+                    if at >= 0:
+                        self.moves[was << 8 | byte] = at, tokens
+            else:  # from a state that the full table lacks
+                state, tokens = step(state, byte)
+                at = self.index.get(state, -1)
+            if tokens:
+                out += tokens
+        state = self.states[at] if at >= 0 else state
+        return out + list(state[state.index(b"", 1) - 1])  # the hypothesis without open bytes
 
 
 class Encoder:
-    """Splits texts by a pattern and sends each piece through the transducer; remembers short pieces, a bounded number."""
+    """Splits texts by a pattern and sends each piece through the transducer.
+
+    Short pieces are remembered in two generations of ``max_pieces`` each: when the younger is full it
+    becomes the older, and the older goes.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 400_000, longest_kept: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000, longest_kept: int = 64):
         self.fst, self.split = Transducer(ranks), regex.compile(pattern).findall
         self.max_pieces, self.longest_kept = max_pieces, longest_kept
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.fst.encode(piece.encode("utf-8")))
+        ids = self.older.get(piece) or tuple(self.fst.encode(piece.encode("utf-8")))
         if len(piece) <= self.longest_kept:
             if len(self.known) >= self.max_pieces:
-                self.known.clear()
+                self.older = dict(self.known)
+                self.known.clear()  # the same table, as callers hold it
             self.known[piece] = ids
         return ids
 
@@ -211,6 +255,7 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int], step: int = 4096):
         self.bytes_of, self.step = {r: t for t, r in ranks.items()}, step
+        self.decimal = {r: str(r) for r in ranks.values()}
 
     def stream(self, ids: list[int]):
         utf8, of = Utf8Stream(), self.bytes_of.__getitem__
@@ -270,7 +315,7 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             for value in batch.column(1):
                 text = value.as_py() or ""
                 ids = encoder.encode(text)
-                said, back = " ".join(map(str, ids)), decoder.decode(ids)
+                said, back = " ".join(map(decoder.decimal.__getitem__, ids)), decoder.decode(ids)
                 cols[0].append(len(ids))
                 cols[1].append(hashlib.sha256(said.encode()).hexdigest())
                 cols[2].append(hashlib.sha256(back.encode("utf-8")).hexdigest())
