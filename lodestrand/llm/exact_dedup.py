@@ -1,11 +1,12 @@
 """Exact duplicate removal by sorting contents (DataFrame operations only).
 
-Rows are range-partitioned on their normalised bytes with sampled splitters, sorted externally
-inside each range, and neighbouring rows are compared in full: Spark's range partitioning counts
-as clustering, so the window over equal texts needs no second exchange of the texts. A salt taken
-from the identifier is the second sort key, so a text that a third of all rows share is spread
-over many ranges; the salted runs of one text meet again as one short row each, keyed by the
-SHA-256 of the text.
+Rows are range-partitioned on the leading normalised bytes with sampled splitters, sorted
+externally inside each range by the whole text, and neighbouring rows are compared in full:
+Spark's range partitioning counts as clustering, so the window over equal texts needs no second
+exchange of the texts. The sample for the splitters holds heads and hashes, never whole texts. The
+text's hash and a salt taken from the identifier are further sort keys, so neither a head that many
+texts share nor a text that a third of all rows share lies in one range; the salted runs of one
+text meet again as one short row each, keyed by the SHA-256 of the text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from lodestrand.llm import store
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SALTS = 64
+#: Leading characters by which splitters are chosen.
+HEAD = 48
 
 
 def ascii_lower(text: Column) -> Column:
@@ -28,11 +31,13 @@ def ascii_lower(text: Column) -> Column:
 def _runs(rows: DataFrame, keep: str) -> DataFrame:
     """Rows with ``norm`` and ``id``: sorted by content; ``best``, ``n`` and ``rn`` of each (text, salt) run."""
     pick, order = (F.max, F.desc_nulls_last) if keep == "largest" else (F.min, F.asc_nulls_last)
-    run = Window.partitionBy("norm", "salt")
-    return rows.repartitionByRange("norm", "salt").select(
-        "*", F.sha2(F.col("norm"), 256).alias("sha"), pick("id").over(run).alias("best"),
+    columns = [c for c in rows.columns if c != "norm"]
+    rows = rows.select("*", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("mix"))
+    run = Window.partitionBy("head", "mix", "salt", "norm")
+    return rows.repartitionByRange("head", "mix", "salt").select(
+        *columns, F.sha2(F.col("norm"), 256).alias("sha"), pick("id").over(run).alias("best"),
         F.count(F.lit(1)).over(run).alias("n"), F.row_number().over(run.orderBy(order("id"))).alias("rn"),
-    ).drop("norm")
+    )
 
 
 def _winners(heads: DataFrame, keep: str) -> DataFrame:
