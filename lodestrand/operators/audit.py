@@ -19,11 +19,11 @@ def unmatched(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
 
 def duplicate_keys(rows: DataFrame, key: Column, item: str) -> DataFrame:
     """(key, n, items): keys, blank ones left out, that several rows have, with up to five of these."""
-    keyed = rows.select(key.alias("key"), item).where("key <> ''")
-    at = F.row_number().over(Window.partitionBy("key").orderBy(item))
-    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    few = keyed.withColumn("_r", at).where("_r <= 5").groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return counted.join(few, "key")
+    keyed = rows.select(key.alias("_key"), F.col(item).alias("_item")).where("_key <> ''")
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("_item"))
+    counted = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    few = keyed.withColumn("_r", at).where("_r <= 5").groupBy("_key").agg(F.array_sort(F.collect_list("_item")).alias("items"))
+    return counted.join(few, "_key").withColumnRenamed("_key", "key")
 
 
 def outcomes(rows: DataFrame, status: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lodestrand.functions import lexicon as L
 from lodestrand.functions import text as T
 from lodestrand.operators import gazetteer as G
+from lodestrand.sources.scratch import cut
 
 ARROW = r"\s*(?:↔|<->|<=>|→|->|=>)\s*"
 
@@ -79,8 +80,8 @@ def resolve_flows(flows: DataFrame, systems: DataFrame, focal: DataFrame, gazett
     found is the receiving countries; a source that isn't found is the receiving countries where the
     target is the focal one, else the focal one.
     """
-    rows = ends(flows).join(focal, key).persist()  # read by every way of resolving an end
-    roles = role_codes(systems, key, gazetteer).persist()
+    rows = cut(ends(flows).join(focal, key))  # read by every way of resolving an end
+    roles = cut(role_codes(systems, key, gazetteer))
     receiving = roles.where("role = 'receiving'").select(key, "code")
     sides = {}
     for side in ("source", "target"):
@@ -91,6 +92,7 @@ def resolve_flows(flows: DataFrame, systems: DataFrame, focal: DataFrame, gazett
         refer = F.array(*[F.when(T.any_of(F.contains(F.lower(F.col(t)), F.lit(w)) for w in words.split("|")), F.lit(role)) for role, words in L.ROLE_REFERENCES])
         by_role = texts.select(key, "ord", F.explode(F.array_compact(refer)).alias("role")).join(roles, [key, "role"]).select(key, "ord", "code").withColumn("_p", F.lit(2))
         every = listed.unionByName(plain).unionByName(by_role)
+        every = cut(every)
         best = every.groupBy(key, "ord").agg(F.min("_p").alias("_m"))
         sides[side] = every.join(best, [key, "ord"]).where("_p = _m").groupBy(key, "ord").agg(F.array_sort(F.collect_set("code")).alias(side))
     got = receiving.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("_receiving"))

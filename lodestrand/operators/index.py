@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import tokens
@@ -37,17 +37,30 @@ class TfIdfIndex:
     key: list[str]
     postings: DataFrame
     n_docs: int
+    saved_norms: DataFrame | None = None
 
     @classmethod
     def build(cls, texts: DataFrame, key: list[str], text_col: str = "text") -> TfIdfIndex:
-        """The only action is the count of texts; postings with their weights are cached by Spark."""
+        """The only action is the count of texts. Searches compute the postings anew; :meth:`save` keeps them."""
         counts = term_counts(texts, key, text_col)
         n = texts.count()
         weighted = counts.join(document_counts(counts), "term").withColumn("w", (1 + F.ln("tf")) * idf(F.lit(n), F.col("df")))
         return cls(key, weighted, n)
 
+    def save(self, path: str) -> TfIdfIndex:
+        """Write postings, sorted by term in each file, and norms as Parquet; searches of the index returned read only these."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.norms().withColumn("n_docs", F.lit(self.n_docs)).write.mode("overwrite").parquet(f"{path}/norms")
+        return self.load(self.postings.sparkSession, path, self.key)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, key: list[str]) -> TfIdfIndex:
+        norms = spark.read.parquet(f"{path}/norms")
+        first = norms.select("n_docs").first()
+        return cls(key, spark.read.parquet(f"{path}/postings"), first["n_docs"] if first else 0, norms.drop("n_docs"))
+
     def norms(self) -> DataFrame:
-        return self.postings.groupBy(*self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return self.saved_norms if self.saved_norms is not None else self.postings.groupBy(*self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
     def statistics(self) -> DataFrame:
         """One row: texts with terms, terms, postings."""

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestrand.functions import text as T
 from lodestrand.operators import gazetteer as G
+from lodestrand.sources.scratch import cut
 
 # Categories that web flows may have, the six of a supplement, and older names.
 WEB_CATEGORIES = ("matter", "material", "capital", "financial", "information", "energy", "people", "organisms")
@@ -47,7 +48,7 @@ def web_signals(replies: DataFrame, snippets: DataFrame, gazetteer: DataFrame, k
     known = snippets.groupBy(key).agg(F.collect_set(F.concat(F.lit("W"), F.col("n").cast("string"))).alias("_known"))
     none = F.array().cast("array<string>")
     obj = F.from_json(T.json_object(F.col(text_col)), WEB_SCHEMA)
-    rows = replies.select(key, obj.alias("o")).where("o is not null").join(known, key, "left").withColumn("_known", F.coalesce("_known", none)).persist()
+    rows = cut(replies.select(key, obj.alias("o")).where("o is not null").join(known, key, "left").withColumn("_known", F.coalesce("_known", none)))
     parts = [rows.select(key, "_known", F.lit(r).alias("role"), F.posexplode(f"o.{r}_systems").alias("ord", "x")) for r in ("receiving", "spillover")]
     said = parts[0].unionByName(parts[1]).select(key, "role", "ord", "_known", "x.*")
     codes = G.resolve(said, [key, "role", "ord"], "country", gazetteer).where("code is not null")

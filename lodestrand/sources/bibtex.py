@@ -14,7 +14,7 @@ _VALUE = r"\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, raw): every entry of the files under ``path``; a byte order mark is dropped."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
     return split_entries(text, "file", "value")
 
 

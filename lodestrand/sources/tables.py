@@ -9,6 +9,9 @@ from lodestrand.functions import text as T
 from lodestrand.operators.chunks import fingerprint
 from lodestrand.operators.graph import edge_set, region_table
 
+#: Fixed value: the status of disputed areas in boundary files.
+DISPUTED = "Non-determined legal status area"
+
 
 def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """A CSV with a header, all strings, trimmed; a missing column is an error, rows without any value are dropped."""
@@ -37,7 +40,7 @@ def read_region_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(file_name, text): whole files, names in the order of their bytes."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")).orderBy("file_name")
 
 
@@ -73,7 +76,7 @@ def coalesced_codes(boundaries: DataFrame, names: list[str], to: str, remap: dic
 
 def disputed(boundaries: DataFrame, column: str = "WB_STATUS") -> DataFrame:
     """The rows of an overlay of disputed areas; none where the column is missing."""
-    return boundaries.where(F.lower(F.col(column)).isin("disputed", "non-determined legal status area")) if column in boundaries.columns else boundaries.limit(0)
+    return boundaries.where(F.col(column) == DISPUTED) if column in boundaries.columns else boundaries.limit(0)
 
 
 def fallback(*tables: DataFrame | None) -> DataFrame | None:

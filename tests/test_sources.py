@@ -125,3 +125,14 @@ def test_audits(spark):
     todo = spark.createDataFrame([("a", "NA", 0), ("b", "new", 0), ("z", "q", 0)], "key string, keywords string, ord int")
     assert {r["key"]: r["outcome"] for r in audit.apply_directives(papers, todo).collect()} == {"a": "deleted", "b": "inserted"}
     assert [r["key"] for r in audit.unused_directives(papers, todo).collect()] == ["z"]
+
+
+def test_saved_index_scores_alike(spark, tmp_path):
+    from lodestrand.operators.index import TfIdfIndex
+
+    texts = spark.createDataFrame([(1, "soybean trade deforestation"), (2, "fishery trade quota quota"), (3, ""), (4, None)], "id int, text string")
+    asked = spark.createDataFrame([(1, "soybean quota"), (2, "the of"), (3, None)], "query_id int, query string")
+    made = TfIdfIndex.build(texts, ["id"])
+    rows = lambda index: sorted(map(tuple, index.scores(asked).collect()))
+    assert rows(made) == rows(made.save(str(tmp_path / "i"))) and {r[1] for r in rows(made)} == {1, 2}
+    assert made.statistics().first()["texts"] == 2
