@@ -167,26 +167,42 @@ def without_controls(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\uD800-\uDFFF￾￿]", "")
 
 
-def excerpt(text: Column, anchor: Column, most: int = 300) -> Column:
-    """The window of words that shares most with the anchor, cut to ``most`` characters at a word; the start without an anchor."""
-    size = max(30, min(60, most // 6))
-    step = max(10, size // 3)
-    trim_end = lambda c: F.regexp_replace(c, r"\s+$", "")
+def _excerpt_parts(text: Column, anchor: Column) -> Column:
     # a word's tokens don't depend on its neighbours, so they are found once
-    parts = F.struct(squeeze(text).alias("compact"), F.split(squeeze(text), " ").alias("words"), specific(tokens(anchor)).alias("wanted"))
+    return F.struct(squeeze(text).alias("compact"), F.split(squeeze(text), " ").alias("words"), specific(tokens(anchor)).alias("wanted"))
+
+
+def _window(most: int) -> tuple[int, int]:
+    """Words in a window, and between the starts of two."""
+    size = max(30, min(60, most // 6))
+    return size, max(10, size // 3)
+
 
-    def best(v: Column) -> Column:
-        found = F.transform(v["words"], lambda w: F.filter(tokens(w), lambda t: ~t.isin(*L.GENERIC_TOKENS)))
+def _best_start(v: Column, most: int) -> Column:
+    size, step = _window(most)
+    found = F.transform(v["words"], lambda w: F.filter(tokens(w), lambda t: ~t.isin(*L.GENERIC_TOKENS)))
 
-        def window(per_word: Column, start: Column) -> Column:
-            def score(distinct: Column) -> Column:
-                shared = F.size(F.array_intersect(v["wanted"], distinct))
-                none = shared == 0
-                return F.struct(F.when(none, -1).otherwise(shared).alias("shared"), F.when(none, -1.0).otherwise(shared / F.greatest(F.lit(1), F.size(distinct))).alias("density"), F.when(none, F.lit(0)).otherwise(-start).alias("first"))
+    def window(per_word: Column, start: Column) -> Column:
+        def score(distinct: Column) -> Column:
+            shared = F.size(F.array_intersect(v["wanted"], distinct))
+            none = shared == 0
+            return F.struct(F.when(none, -1).otherwise(shared).alias("shared"), F.when(none, -1.0).otherwise(shared / F.greatest(F.lit(1), F.size(distinct))).alias("density"), F.when(none, F.lit(0)).otherwise(-start).alias("first"))
 
-            return let(F.array_distinct(F.flatten(F.slice(per_word, start + 1, F.lit(size)))), score)
+        return let(F.array_distinct(F.flatten(F.slice(per_word, start + 1, F.lit(size)))), score)
 
-        return let(found, lambda f: F.array_max(F.transform(F.sequence(F.lit(0), F.size(v["words"]) - 1, F.lit(step)), lambda s: window(f, s))))
+    return -let(found, lambda f: F.array_max(F.transform(F.sequence(F.lit(0), F.size(v["words"]) - 1, F.lit(step)), lambda s: window(f, s))))["first"]
+
+
+def excerpt_start(text: Column, anchor: Column, most: int = 300) -> Column:
+    """The word, from 0, at which :func:`excerpt` begins."""
+    whole = lambda v: (F.length(v["compact"]) <= most) | (F.size(v["wanted"]) == 0)
+    return let(_excerpt_parts(text, anchor), lambda v: F.when(whole(v), 0).otherwise(_best_start(v, most)))
+
+
+def excerpt(text: Column, anchor: Column, most: int = 300) -> Column:
+    """The window of words that shares most with the anchor, cut to ``most`` characters at a word; the start without an anchor."""
+    size, _ = _window(most)
+    trim_end = lambda c: F.regexp_replace(c, r"\s+$", "")
 
     def cut(v: Column, start: Column) -> Column:
         part = F.array_join(F.slice(v["words"], start + 1, F.lit(size)), " ")
@@ -194,7 +210,8 @@ def excerpt(text: Column, anchor: Column, most: int = 300) -> Column:
         return F.concat(F.when(start > 0, "...").otherwise(""), short, F.when(start + size < F.size(v["words"]), "...").otherwise(""))
 
     plain = lambda v: F.concat(trim_end(F.substring(v["compact"], 1, most)), F.lit("..."))
-    return let(parts, lambda v: F.when(F.length(v["compact"]) <= most, v["compact"]).when(F.size(v["wanted"]) == 0, plain(v)).otherwise(let(-best(v)["first"], lambda s: cut(v, s))))
+    body = lambda v: F.when(F.length(v["compact"]) <= most, v["compact"]).when(F.size(v["wanted"]) == 0, plain(v)).otherwise(let(_best_start(v, most), lambda s: cut(v, s)))
+    return let(_excerpt_parts(text, anchor), body)
 
 
 # --- names, keys, labels -----------------------------------------------------------------------

@@ -144,12 +144,8 @@ o AS (SELECT doc_id, w, start, len(list_intersect(a, tok)) AS shared, len(tok) A
 b AS (SELECT doc_id, w, CASE WHEN max(shared) = 0 THEN 0 ELSE arg_min(start, (-shared, -shared / greatest(1, size)::DOUBLE, start)) END AS start FROM o GROUP BY ALL)
 SELECT doc_id, start::INT AS start FROM (SELECT doc_id, start FROM b)""")
 def best_excerpt(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text"), F.lit(QUESTION)).alias("e"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("c")).where(F.length("c") > 300)
-    # where the excerpt starts, in words: a step of windows that it is cut from
-    words = F.split("c", " ")
-    body = F.regexp_replace(F.regexp_replace("e", r"^\.\.\.", ""), r"\.\.\.$", "")
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1, F.lit(16)), lambda s: F.array_join(F.slice(words, s + 1, F.lit(50)), " ").startswith(body))
-    return rows.select("doc_id", F.element_at(F.when(F.col("e").startswith("..."), F.filter(starts, lambda s: s > 0)).otherwise(F.array(F.lit(0))), 1).alias("start"))
+    rows = table(spark, sf, "documents").where(F.length(T.squeeze(F.col("text"))) > 300)
+    return rows.select("doc_id", T.excerpt_start(F.col("text"), F.lit(QUESTION)).alias("start"))
 
 
 FINGERPRINT_GROUPS = 65_536

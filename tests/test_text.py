@@ -125,3 +125,12 @@ def test_names(spark):
     assert one(spark, T.surname_forms(F.col("t")), t="Ana García-López") == ["garcialopez", "garcia", "lopez"]
     assert one(spark, T.is_direct_location(F.col("t")), t="likely markets such as Mexico") is False
     assert one(spark, T.names_unsupported_scope(F.col("t")), t="the river basin of X") is True
+
+
+def test_excerpt(spark):
+    text = " ".join(["plain words here"] * 60 + ["soybean exports deforest land"] + ["other things follow"] * 60)
+    got = one(spark, T.excerpt(F.col("t"), F.col("a")), t=text, a="soybean exports")
+    assert "soybean exports" in got and got.startswith("...") and got.endswith("...") and len(got) <= 306
+    assert one(spark, T.excerpt_start(F.col("t"), F.col("a")), t=text, a="soybean exports") == 144
+    assert one(spark, T.excerpt(F.col("t"), F.col("a")), t="short", a="x") == "short"
+    assert one(spark, T.excerpt(F.col("t"), F.lit("")), t=text).endswith("...")
