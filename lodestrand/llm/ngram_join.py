@@ -117,7 +117,7 @@ class _Block:
         else:
             self.ids[i].append(ident)
 
-    def rows(self, block: int, ranges: int):
+    def rows(self, block: int, keys: list[int]):
         """The row with what the block's sets are, then a row for each range of hashes."""
         yield -1 - block, block, None, list(self.at), [len(s) for s in self.sets], self.ids, self.empty
         if not self.sets:
@@ -126,10 +126,10 @@ class _Block:
         owners = np.repeat(np.arange(len(self.sets), dtype=np.uint32), [len(s) for s in self.sets])
         order = np.argsort(hashes, kind="stable")
         hashes, owners = hashes[order], owners[order]
-        starts = np.searchsorted(hashes, np.array([(r << 64) // ranges for r in range(ranges)], np.uint64))
-        for r, (a, b) in enumerate(zip(starts, [*starts[1:], len(hashes)])):
+        starts = np.searchsorted(hashes, np.array([(r << 64) // len(keys) for r in range(len(keys))], np.uint64))
+        for key, a, b in zip(keys, starts, [*starts[1:], len(hashes)]):
             if a < b:
-                yield r, block, pack(hashes[a:b], owners[a:b]), None, None, None, None
+                yield key, block, pack(hashes[a:b], owners[a:b]), None, None, None, None
 
 
 _SENT = "part bigint, block bigint, blob binary, keys array<binary>, sizes array<int>, ids array<array<bigint>>, empty array<bigint>"
@@ -137,7 +137,7 @@ _SENT_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.li
 _NAMES = ["part", "block", "blob", "keys", "sizes", "ids", "empty"]
 
 
-def _sender(words: int, ranges: int, most: int):
+def _sender(words: int, keys: list[int], most: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -148,14 +148,20 @@ def _sender(words: int, ranges: int, most: int):
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block.add(ident, ngram_set(text.as_py(), words))
                 if block.size >= most:
-                    yield from _sent(block.rows(number, ranges))
+                    yield from _sent(block.rows(number, keys))
                     block, number = _Block(), number + 1
         if block.sets or block.empty:
-            yield from _sent(block.rows(number, ranges))
+            yield from _sent(block.rows(number, keys))
 
     return run
 
 
+def _range_keys(spark, n: int) -> list[int]:
+    """A key for each of n ranges of hashes, each dealt to a shuffle partition of its own."""
+    by = spark.range(20 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k")).collect()
+    return [r["k"] for r in by] if len(by) == n else list(range(n))
+
+
 def _sent(rows):
     for row in rows:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _SENT_TYPES)], _NAMES)
@@ -364,7 +370,7 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     store.ship(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = rows.mapInArrow(_sender(words, max(8, store.shuffle_parts(spark)), block), _SENT)
+    sent = rows.mapInArrow(_sender(words, _range_keys(spark, store.shuffle_parts(spark)), block), _SENT)
     answered = sent.groupBy("part").applyInArrow(_answer, _SENT)
     sets, sets_path = store.settle(answered.groupBy("block").applyInArrow(_assembler(percent), _SETS), "ngram-sets")
     first = [F.first(c).alias(c) for c in ("n", "singles", "prefix", "members")]
