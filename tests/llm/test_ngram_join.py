@@ -57,7 +57,7 @@ def test_null_identifiers_only_and_empty(spark):
     check(spark, [])
 
 
-@pytest.mark.parametrize("seed, percent", [(1, 75), (2, 75), (3, 50), (4, 90)])
+@pytest.mark.parametrize("seed, percent", [(1, 75), (3, 50)])
 def test_random_edits_against_brute_force(spark, seed, percent):
     """Families of copies with edits around the threshold, a passage that many share, and exact copies."""
     rng = random.Random(seed)
