@@ -42,6 +42,12 @@ def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), queries, k=10)
 
 
+def op5_bm25_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 as a query to all documents; itself is among those found."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10, query_id="query_id")
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -66,7 +72,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("mix.rate", 6).alias("rate"), "mix.n_copies", "mix.copy", "mix.shuffle_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_ngram_jaccard, op4_warc_revisits, op5_bm25_topk, op6_rendezvous_shards, op7_exact_dedup, op8_edit_token_counts, op9_language_id, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_ngram_jaccard, op4_warc_revisits, op5_bm25_topk, op6_rendezvous_shards, op7_exact_dedup, op8_edit_token_counts, op9_language_id, op10_poisson_mix, op5_bm25_topk_documents)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +114,16 @@ q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_
 s AS (SELECT item_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
       FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), g GROUP BY ALL)
 SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10""",
+    "op5_bm25_topk_documents": r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+g AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS avgdl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM tf WHERE doc_id % 20 = 0),
+s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), g GROUP BY ALL)
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10""",
     "op7_exact_dedup": f"""
 WITH n AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY norm)
