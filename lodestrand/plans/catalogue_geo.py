@@ -155,6 +155,16 @@ def _trade(spark, sf):
     return rows.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_c.add(f"""WITH {_EDGES}, {_TRADE}, p AS (SELECT target AS key, e.a IS NOT NULL AS peri FROM t LEFT JOIN e ON e.a = least(source, target) AND e.b = greatest(source, target) WHERE source <> target)
+SELECT key, (count(*) FILTER (peri))::INT AS n_peri, (count(*) FILTER (NOT peri))::INT AS n_tele, CASE WHEN count(*) FILTER (peri) > 0 AND length(key) % 2 = 1 THEN 'differs' ELSE 'consistent' END AS note FROM p GROUP BY 1""")
+def validation_note_all_orders(spark, sf):
+    """As validation_note, with the nations that any order ties to a nation, not those of every 97th order alone."""
+    others = _trade(spark, sf).select(F.col("target").alias("key"), F.col("source").alias("code"))
+    focal = others.select("key").distinct().select("key", F.col("key").alias("focal"), (F.length("key") % 2 == 0).alias("says_peri"), F.lit(True).alias("says_tele"))
+    found = graph.validation(focal, others, _edges(spark, sf), "key")
+    return found.select("key", F.size("pericoupled").alias("n_peri"), F.size("telecoupled").alias("n_tele"), "note")
+
+
 @_c.add(f"WITH {_TRADE} SELECT source, target, source || ' → ' || target AS direction FROM t WHERE source <> target")
 def trade_flows_resolved(spark, sf):
     names = _terms(spark, sf)
