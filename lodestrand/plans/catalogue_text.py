@@ -93,6 +93,39 @@ def paper_best_vs_last_score(spark, sf):
     return best.withColumnRenamed("score", "best").join(last.withColumnRenamed("score", "last"), "label")
 
 
+_VECS = "s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)"
+_DIVERSE_EACH = _DIVERSE.replace("(PARTITION BY paper", "(PARTITION BY query_id, paper").replace("(ORDER BY pass", "(PARTITION BY query_id ORDER BY pass")
+
+
+def _all_vector_scores(spark, sf):
+    """Every vector whose id is divisible by 20 against all vectors."""
+    rows = table(spark, sf, "embeddings")
+    return retrieve.vector_scores(rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
+
+
+@_c.add(f"WITH {_VECS} SELECT query_id, vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score >= 0.3) WHERE rank <= 10")
+def embedding_topk_each(spark, sf):
+    return retrieve.top_k(_all_vector_scores(spark, sf).where("score >= 0.3"), 10, ["query_id"], ["vec_id"]).select("query_id", "vec_id", "label", "score", "rank")
+
+
+@_c.add(f"WITH {_VECS}, s2 AS (SELECT query_id, vec_id AS id, label AS paper, vec_id % 4 AS section, score FROM s WHERE score >= -0.2), {_DIVERSE_EACH} SELECT query_id, id AS vec_id, paper AS label, section::INT AS section, score, pass::INT AS pass, rank::INT AS rank FROM r WHERE rank <= 15")
+def embedding_diverse_topk_each(spark, sf):
+    scored = _all_vector_scores(spark, sf).withColumn("section", (F.col("vec_id") % 4).cast("int"))
+    return retrieve.diverse_top_k(scored, 15, ["query_id"], "label", "section", ["vec_id"], 3, -0.2).select("query_id", "vec_id", "label", "section", "score", "pass", "rank")
+
+
+@_c.add(f"WITH {_VECS} SELECT query_id, CASE WHEN score >= 0.7 THEN 'High' WHEN score >= 0.6 THEN 'Medium' WHEN score >= 0.5 THEN 'Low' ELSE 'Very Low' END AS confidence, count(*) AS n FROM s GROUP BY ALL")
+def retrieval_confidence_hist_each(spark, sf):
+    return _all_vector_scores(spark, sf).groupBy("query_id", T.confidence(F.col("score"), "embeddings").alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_c.add(f"WITH {_VECS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 50) SELECT query_id, label, max(score) AS best, arg_max(score, rank) AS last FROM t GROUP BY ALL")
+def paper_best_vs_last_score_each(spark, sf):
+    ranked = retrieve.top_k(_all_vector_scores(spark, sf), 50, ["query_id"], ["vec_id"])
+    best, last = (retrieve.paper_scores(ranked, "label", fold, ["query_id"]).withColumnRenamed("score", fold) for fold in ("best", "last"))
+    return best.join(last, ["query_id", "label"])
+
+
 @_c.add(f"SELECT term, count(*) AS df, sum(c)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY 1 ORDER BY df DESC, term LIMIT 50")
 def token_df_top(spark, sf):
     counts = index.term_counts(table(spark, sf, "documents"), ["doc_id"])

@@ -1,5 +1,6 @@
 """The whole job: nothing is left out by a filter, a cap or a sample."""
 
+from lodestrand.operators import retrieve
 from lodestrand.plans import catalogue
 from lodestrand.plans.common import table
 
@@ -10,3 +11,20 @@ def test_all_orders_tie_nations(spark):
     trade = {(r["source"], r["target"]) for r in catalogue.QUERIES["flow_slots"](spark, SF).collect()}
     got = {r["key"]: r["n_peri"] + r["n_tele"] for r in catalogue.QUERIES["validation_note_all_orders"](spark, SF).collect()}
     assert got == {k: sum(t == k != s for s, t in trade) for k in got} and set(got) == {t for s, t in trade if s != t}
+
+
+def test_every_twentieth_vector_is_asked(spark):
+    rows = table(spark, SF, "embeddings").select("vec_id").toPandas().vec_id
+    asked = {i for i in rows if i % 20 == 0}
+    for name in ("embedding_topk_each", "embedding_diverse_topk_each", "retrieval_confidence_hist_each", "paper_best_vs_last_score_each"):
+        got = catalogue.QUERIES[name](spark, SF).toPandas()
+        assert len(asked) > 1 and set(got.query_id) == asked, name
+        if "hist" in name:
+            assert (got.groupby("query_id").n.sum() == len(rows)).all()
+
+
+def test_queries_of_more_than_one_block(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id bigint, embedding array<double>")
+    asked = spark.range(1200).selectExpr("id as query_id", "array(1d, id / 100) as query_vector")
+    got = retrieve.vector_scores(vectors, asked).toPandas()
+    assert len(got) == 3600 and got.groupby("query_id").vec_id.nunique().eq(3).all() and got.query_id.nunique() == 1200
