@@ -26,6 +26,13 @@ def duplicate_keys(rows: DataFrame, key: Column, item: str) -> DataFrame:
     return counted.join(few, "_key").withColumnRenamed("_key", "key")
 
 
+def duplicate_members(rows: DataFrame, key: Column, item: str) -> DataFrame:
+    """(key, n, item): every row whose key, not a blank one, several rows have, with their number."""
+    keyed = rows.select(key.alias("key"), F.col(item)).where("key <> ''")
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(counted, "key").select("key", "n", item)
+
+
 def outcomes(rows: DataFrame, status: str) -> DataFrame:
     return rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 

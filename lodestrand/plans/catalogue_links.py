@@ -82,6 +82,11 @@ def duplicate_key_audit(spark, sf):
     return audit.duplicate_keys(table(spark, sf, "documents"), F.md5("text"), "doc_id")
 
 
+@_c.add("SELECT key, n, doc_id FROM (SELECT doc_id, md5(text) AS key, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
+def duplicate_key_members(spark, sf):
+    return audit.duplicate_members(table(spark, sf, "documents"), F.md5("text"), "doc_id")
+
+
 @_c.add("SELECT CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN quality = 1 AND toxic = 1 THEN 'conflict' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def label_consistency_audit(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels").withColumn("l", F.lit(True)), "doc_id", "left")

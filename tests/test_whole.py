@@ -1,6 +1,8 @@
 """The whole job: nothing is left out by a filter, a cap or a sample."""
 
-from lodestrand.operators import retrieve
+from pyspark.sql import functions as F
+
+from lodestrand.operators import audit, retrieve
 from lodestrand.plans import catalogue
 from lodestrand.plans.common import table
 
@@ -28,3 +30,9 @@ def test_queries_of_more_than_one_block(spark):
     asked = spark.range(1200).selectExpr("id as query_id", "array(1d, id / 100) as query_vector")
     got = retrieve.vector_scores(vectors, asked).toPandas()
     assert len(got) == 3600 and got.groupby("query_id").vec_id.nunique().eq(3).all() and got.query_id.nunique() == 1200
+
+
+def test_every_member_of_a_group_is_returned(spark):
+    rows = spark.createDataFrame([(i, "same") for i in range(9)] + [(9, "one"), (10, ""), (11, ""), (12, None), (13, None)], "id bigint, k string")
+    got = audit.duplicate_members(rows, F.col("k"), "id").collect()
+    assert sorted(map(tuple, got)) == [("same", 9, i) for i in range(9)]
