@@ -112,16 +112,22 @@ def profiles(dim: int, seed: int) -> Profiles:
     return _PROFILES[dim, seed]
 
 
-def _bundled(texts: Iterator[str], made: Profiles, chars: int = 2 << 20) -> Iterator[np.ndarray]:
-    """Bundles of the texts in order, some millions of characters at a time."""
+def evidence(counts: np.ndarray) -> float:
+    """The number of equally frequent trigrams that would tell as much: the square of the sum of the counts by the sum of their squares; 0 for none."""
+    n = counts.astype(np.float64)
+    return float(n.sum() ** 2 / (n @ n)) if len(n) else 0.0
+
+
+def _bundled(texts: Iterator[str], made: Profiles, chars: int = 2 << 20) -> Iterator[tuple[np.ndarray, float]]:
+    """Bundles of the texts in order with their evidence, some millions of characters at a time."""
     held, size = [], 0
     for text in texts:
         held.append(made.grams(text))
         size += len(text) + made.dim  # a vector takes room too
         if size >= chars:
-            yield from made.bundle(held)
+            yield from zip(made.bundle(held), [evidence(n) for _, n in held])
             held, size = [], 0
-    yield from made.bundle(held)
+    yield from zip(made.bundle(held), [evidence(n) for _, n in held])
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -166,9 +172,9 @@ def _arrays(total: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` and a struct ``language``: ``lang_pred``, ``score``.
+    """All columns of ``docs`` and a struct ``language``: ``lang_pred``, ``score``, ``evidence``.
 
-    score: the cosine with the chosen prototype, at least 0. ``und`` with score 0 if the text is null or
+    score: the cosine with the chosen prototype, at least 0; evidence: see :func:`evidence`. ``und`` with score 0 if the text is null or
     has no letter, or nothing was learned; of equal cosines the language that sorts first. Whole
     texts of any length are read, once each. Columns of any name are kept; an empty table gives an
     empty result.
@@ -182,8 +188,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
         made = profiles(dim, seed)
         for batch in batches:
-            lang, score = [], []
-            for vector in _bundled((x.as_py() or "" for x in batch.column(batch.num_columns - 1)), made):
+            lang, score, known = [], [], []
+            for vector, told in _bundled((x.as_py() or "" for x in batch.column(batch.num_columns - 1)), made):
+                known.append(told)
                 size = np.linalg.norm(vector)
                 if not size or not names:
                     lang.append(UNKNOWN)
@@ -193,13 +200,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 best = int(np.argmax(cosines.round(12)))
                 lang.append(names[best])
                 score.append(float(min(1.0, max(0.0, cosines[best]))))
-            found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+            found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], ["lang_pred", "score", "evidence"])
             columns = [*batch.columns[:-1], found]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     # columns go by place, as names may be anything
     placed = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in placed.schema], T.StructField(f"c{len(docs.columns)}", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in placed.schema], T.StructField(f"c{len(docs.columns)}", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())]))])
     texts = placed.select("*", F.col(f"c{docs.columns.index(text_col)}").cast("string").alias("text"))
     return texts.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([*docs.columns, "language"])])
 

@@ -1,5 +1,10 @@
 """The whole job: nothing is left out by a filter, a cap or a sample."""
 
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from lodestrand.llm import queries
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +15,18 @@ def test_every_twentieth_document_is_a_query(spark):
     asked = queries.table(spark, SF, "documents").where("doc_id % 20 = 0 and text rlike '[a-zA-Z]'").toPandas()
     assert len(asked) >= 10 and set(got.query_id) == set(asked.doc_id)
     assert (got.groupby("query_id")["rank"].max() == 10).mean() > 0.8
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """Unlearned scripts and random letters, in texts of 20 words and more; short clean texts stay."""
+    rng = random.Random(5)
+    spans = {"Cyrillic": (0x430, 0x44F), "Greek": (0x3B1, 0x3C9), "Georgian": (0x10D0, 0x10F0), "Han": (0x4E00, 0x9F00), "Latin": (0x61, 0x7A)}
+    words = lambda span, n: " ".join("".join(chr(rng.randint(*span)) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    odd = [words(span, n) for span in spans.values() for n in (20, 200, 200, 3000)]
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")
+    for c in docs.columns[2:]:
+        rows = rows.withColumn(c, F.lit(None).cast(docs.schema[c].dataType))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(rows.select(docs.columns)), SF).select("doc_id").collect()}
+    assert not [i for i in kept if i < 0]
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
