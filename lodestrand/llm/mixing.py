@@ -8,12 +8,15 @@ ordered globally by a hash of seed, identifier and copy number.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many sources the table of rates is broadcast; beyond, it is joined by salted keys.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
+#: Up to this rate the terms of a distribution function are added from 0.
 MAX_RATE = 500.0
 
 
@@ -23,16 +26,25 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The least k whose Poisson(rate) distribution function exceeds u; terms are added until they vanish in a double."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    """The least k whose Poisson(rate) distribution function exceeds u; terms are added until they vanish in a double.
+
+    Up to ``MAX_RATE`` they are added from k = 0. Beyond, where exp(-rate) would vanish in the end, from a k so far below
+    the mode that what lies before it is nothing in a double; its term comes from Stirling's series.
+    """
+    reach = 12 * F.sqrt(rate) + 30
+    top = F.ceil(rate + reach).cast("int")
+    first = F.when(rate > MAX_RATE, F.floor(rate - reach)).otherwise(0).cast("int")
+    at = F.greatest(first, F.lit(1)).cast("double")
+    far = F.exp(at * F.ln(rate / at) + at - rate - F.ln(2 * math.pi * at) / 2 - 1 / (12 * at) + 1 / (360 * at * at * at))
+    least = F.when(first > 0, far).otherwise(F.exp(-rate))
+    start = F.struct(least.alias("p"), least.alias("cdf"), first.alias("k"))
 
     def add(acc: Column, j: Column) -> Column:
         p = acc["p"] * rate / j
         go = acc["cdf"] <= u
         return F.struct(F.when(go, p).otherwise(acc["p"]).alias("p"), F.when(go, acc["cdf"] + p).otherwise(acc["cdf"]).alias("cdf"), F.when(go, j).otherwise(acc["k"]).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), top), start, add, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(first + 1, top), start, add, lambda acc: acc["k"])
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, size: float | None) -> DataFrame:
@@ -61,8 +73,7 @@ def poisson_mix(
     expected number of rows returned, by default that of the input. ``mix`` holds rate, n_copies,
     copy (from 0) and shuffle_key. The null source is a source of its own. Rows with a null
     identifier are seeded as the text ``null``; rows that repeat an identifier draw the same
-    number, each for itself. An empty table gives an empty result. A rate beyond 500 is served
-    by its whole part plus a Poisson draw of at most 500. Columns of any name are kept as they are.
+    number, each for itself. An empty table gives an empty result. Columns of any name are kept as they are.
     """
     rates = source_rates(docs, source_col, weights, temperature, size)
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
@@ -74,8 +85,7 @@ def poisson_mix(
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(SALTS)))
         spread = rates.withColumn("salt2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         joined = salted.join(spread, salted["source"].eqNullSafe(spread["source"]) & (F.col("salt") == F.col("salt2")))
-    whole = F.greatest(F.lit(0.0), F.floor(F.col("rate") - MAX_RATE).cast("double"))
-    count = whole.cast("int") + poisson_inverse(uniform(F.lit(str(seed)), F.col("ident")), F.col("rate") - whole)
+    count = poisson_inverse(uniform(F.lit(str(seed)), F.col("ident")), F.col("rate"))
     copies = joined.select("row", "ident", "rate", count.alias("n_copies")).where("n_copies > 0")
     copies = copies.select("*", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col("ident"), F.col("copy").cast("string")))

@@ -1,11 +1,12 @@
 """The whole job: nothing is left out by a filter, a cap or a sample."""
 
 import random
+from decimal import Decimal, localcontext
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrand.llm import queries
+from lodestrand.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,25 @@ def test_texts_in_no_learned_language_go(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(rows.select(docs.columns)), SF).select("doc_id").collect()}
     assert not [i for i in kept if i < 0]
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def exact_inverse(u, rate):
+    with localcontext(prec=60):
+        k, p = 0, (-Decimal(rate)).exp()
+        cdf = p
+        while cdf <= Decimal(u):
+            k += 1
+            p = p * Decimal(rate) / k
+            cdf += p
+        return k
+
+
+def test_counts_at_any_rate_are_the_inverse(spark):
+    draws = [(i * 37 % 200 + 0.5) / 200 for i in range(25)]
+    cases = [(u, rate) for rate in (3.5, 75.0, 499.5, 500.5, 700.0, 1500.0) for u in draws]
+    got = spark.createDataFrame(cases, "u double, rate double").select("u", "rate", mixing.poisson_inverse(F.col("u"), F.col("rate")).alias("k")).collect()
+    assert [r["k"] for r in got] == [exact_inverse(u, rate) for u, rate in cases]
+    df = spark.range(40).selectExpr("id as doc_id", "'a' as source")
+    counts = {r["doc_id"]: r["mix"]["n_copies"] for r in mixing.poisson_mix(df, size=40 * 700).collect()}
+    for r in df.select("doc_id", mixing.uniform(F.lit("42"), F.col("doc_id").cast("string")).alias("u")).collect():
+        assert counts[r["doc_id"]] == exact_inverse(r["u"], 700.0)
