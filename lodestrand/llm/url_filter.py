@@ -18,6 +18,8 @@ FEATURES = (
 )
 #: Labelled URLs that training brings to the driver, at most.
 TRAIN_ROWS = 20_000
+#: Up to so many suffixes their table of counts is broadcast; beyond, it is joined by salted keys.
+BROADCAST_SUFFIXES, SALTS = 20_000, 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -48,32 +50,49 @@ def suffixes(host: str) -> tuple[str, str]:
 
 
 class SuffixStatistics:
-    """Share of the labelled URLs, and smoothed rate of blocked ones, of every suffix."""
-
-    def __init__(self, hosts: list[str], labels: np.ndarray, prior: float = 20.0):
-        self.n, self.base = max(1, len(hosts)), float(labels.mean()) if len(labels) else 0.5
-        self.prior, self.table = prior, {}
-        for host, y in zip(hosts, labels.tolist()):
-            for s in set(suffixes(host)):
-                n, k = self.table.get(s, (0, 0))
-                self.table[s] = n + 1, k + y
-
-    def of(self, suffix: str) -> tuple[float, float]:
-        n, k = self.table.get(suffix, (0, 0))
+    """Share of all labelled URLs, and smoothed rate of blocked ones, of a suffix with n of them, k blocked."""
+
+    def __init__(self, n: int, blocked: int, prior: float = 20.0):
+        self.n, self.base, self.prior = max(1, n), blocked / n if n else 0.5, prior
+
+    def of(self, n: int, k: int) -> tuple[float, float]:
         return n / self.n, (k + self.prior * self.base) / (n + self.prior)
 
 
-def features(url: str | None, host: str, path: str, stats: SuffixStatistics) -> tuple[float, ...]:
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, n, blocked) of (host, y) rows; a suffix of one label that is both counts once, and null stands for all rows."""
+    both = F.array_distinct(F.array(F.substring_index("host", ".", -1), F.substring_index("host", ".", -2), F.lit(None).cast("string")))
+    return labelled.select(F.explode(both).alias("suffix"), "y").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked"))
+
+
+def with_counts(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with n0, k0, n1, k1: the counts of the host's last label and its last two, 0 if unknown. Beside ``host`` they have a ``spread``, a hash."""
+    for i in (0, 1):
+        counts = table.where("suffix is not null").select(F.col("suffix").alias(f"s{i}"), F.col("n").alias(f"n{i}"), F.col("blocked").alias(f"k{i}"))
+        rows = rows.withColumn(f"s{i}", F.substring_index("host", ".", -1 - i))
+        if small:
+            rows = rows.join(F.broadcast(counts), f"s{i}", "left")
+        else:
+            counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+            rows = rows.withColumn("salt", F.pmod("spread", F.lit(SALTS))).join(counts, [f"s{i}", "salt"], "left").drop("salt")
+    return rows.fillna(0, ["n0", "k0", "n1", "k1"])
+
+
+def features(url: str | None, host: str, path: str, n0: int, k0: int, n1: int, k1: int, stats: SuffixStatistics) -> tuple[float, ...]:
     url = url or ""
     query = url.partition("#")[0].partition("?")[2]
     labels = host.split(".") if host else []
-    (a, b), (c, d) = map(stats.of, suffixes(host))
+    (a, b), (c, d) = stats.of(n0, k0), stats.of(n1, k1)
     return (
         len(url), len(host), len(path), sum(bool(x) for x in path.split("/")), sum(x.isdigit() for x in url) / max(1, len(url)), entropy(url), entropy(host),
         sum(bool(x) for x in query.split("&")), len(labels), host.count("-"), max(map(len, labels), default=0), float("#" in url), a, b, c, d,
     )
 
 
+def matrix(urls: list[tuple], stats: SuffixStatistics) -> np.ndarray:
+    return np.array([features(*u, stats) for u in urls], float).reshape(len(urls), len(FEATURES))
+
+
 class BoostedTrees:
     """Binary logistic boosting of small regression trees over binned features; deterministic."""
 
@@ -158,21 +177,26 @@ class Rules:
 
 
 class Model:
-    def __init__(self, urls: list[tuple[str, str, str]], labels: np.ndarray, **settings):
-        self.stats = SuffixStatistics([h for _, h, _ in urls], labels)
-        x = np.array([features(u, h, p, self.stats) for u, h, p in urls], float).reshape(len(urls), len(FEATURES))
-        self.trees = BoostedTrees(**settings).fit(x, labels)
+    """Fitted trees, and the table of all suffixes' counts, broadcast if ``small``."""
 
-    def probability(self, urls: list[tuple[str | None, str, str]]) -> np.ndarray:
-        return self.trees.probability(np.array([features(u, h, p, self.stats) for u, h, p in urls], float).reshape(len(urls), len(FEATURES)))
+    def __init__(self, trees: BoostedTrees, stats: SuffixStatistics, table: DataFrame, small: bool):
+        self.trees, self.stats, self.table, self.small = trees, stats, table, small
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max_rows: int = TRAIN_ROWS, **settings) -> Model:
-    """Fit on labelled URLs (label 1: block). Of more than ``max_rows`` distinct ones those with the least hashes are taken; null urls or labels are left out."""
+    """Fit on labelled URLs (label 1: block); null urls or labels are left out.
+
+    Suffixes are counted over all distinct URLs. The trees see ``max_rows`` of these at most: those with the least hashes.
+    """
     rows = labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("int").alias("y")).where("url is not null and y is not null")
     rows = rows.groupBy("url").agg(F.max("y").alias("y")).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "y")
-    got = rows.orderBy(F.xxhash64("url"), "url").limit(max_rows).collect()
-    return Model([(r["url"], r["host"], r["path"]) for r in got], np.array([r["y"] for r in got], float), **settings)
+    table, _ = store.settle(suffix_counts(rows), "suffixes")
+    total = table.where("suffix is null").first()
+    stats = SuffixStatistics(total["n"], total["blocked"]) if total else SuffixStatistics(0, 0)
+    small = table.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
+    some = rows.withColumn("spread", F.xxhash64("url")).orderBy("spread", "url").limit(max_rows)
+    got = sorted(with_counts(some, table, small).select("spread", "url", "host", "path", "n0", "k0", "n1", "k1", "y").collect())
+    return Model(BoostedTrees(**settings).fit(matrix([r[1:8] for r in got], stats), np.array([r["y"] for r in got], float)), stats, table, small)
 
 
 def judge(pages: DataFrame, model: Model, rules: list[tuple[str, str, str]] = (), id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
@@ -183,18 +207,19 @@ def judge(pages: DataFrame, model: Model, rules: list[tuple[str, str, str]] = ()
     repeat an id are judged each; an empty table gives an empty result; further columns are not read.
     """
     store.ship(pages.sparkSession)
-    table = Rules(list(rules))
+    table, trees, stats = Rules(list(rules)), model.trees, model.stats
     key = pages.select(F.col(id_col)).schema[0].dataType.simpleString()
     names = [id_col, "host", "path", "rule", "verdict", "block_probability"]
 
     def run(batches):
         for batch in batches:
-            urls = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))))
-            chance = model.probability(urls)
-            found = [table.find(h, p) for _, h, p in urls]
+            urls = list(zip(*(batch.column(i).to_pylist() for i in range(1, 8))))
+            chance = trees.probability(matrix(urls, stats))
+            found = [table.find(u[1], u[2]) for u in urls]
             verdict = [f[1] if f else "block" if c >= threshold else "allow" for f, c in zip(found, chance)]
             arrays = [pa.array([f[0] if f else None for f in found], pa.string()), pa.array(verdict, pa.string()), pa.array(chance, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names)
 
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.xxhash64(id_col, url_col).alias("spread"))
+    rows = with_counts(rows, model.table, model.small).select("id", "url", "host", "path", "n0", "k0", "n1", "k1")
     return rows.mapInArrow(run, f"`{id_col}` {key}, host string, path string, rule string, verdict string, block_probability double")

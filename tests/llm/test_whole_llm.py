@@ -6,7 +6,7 @@ from decimal import Decimal, localcontext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrand.llm import mixing, queries
+from lodestrand.llm import mixing, queries, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,17 @@ def test_counts_at_any_rate_are_the_inverse(spark):
     counts = {r["doc_id"]: r["mix"]["n_copies"] for r in mixing.poisson_mix(df, size=40 * 700).collect()}
     for r in df.select("doc_id", mixing.uniform(F.lit("42"), F.col("doc_id").cast("string")).alias("u")).collect():
         assert counts[r["doc_id"]] == exact_inverse(r["u"], 700.0)
+
+
+def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
+    urls = [(f"http://h{i % 7}.d{i % 300}.com/{i}", int(i % 300 < 100)) for i in range(3000)]
+    df = spark.createDataFrame([*urls, *urls[:50], (None, 1)], "url string, label int").selectExpr("url", "label", "monotonically_increasing_id() as page_id")
+    model = url_filter.train(df, max_rows=400)
+    counts = {r["suffix"]: (r["n"], r["blocked"]) for r in model.table.collect()}
+    assert counts == {None: (3000, 1000), "com": (3000, 1000)} | {f"d{i}.com": (10, 10 * (i < 100)) for i in range(300)}
+    want = sorted(map(str, url_filter.judge(df, model).collect()))
+    right = url_filter.judge(df.where("url is not null"), model).join(df, "page_id").where("label = cast(verdict = 'block' as int)").count()
+    assert right == 3050
+    monkeypatch.setattr(url_filter, "BROADCAST_SUFFIXES", 0)
+    salted = url_filter.train(df, max_rows=400)
+    assert not salted.small and sorted(map(str, url_filter.judge(df, salted).collect())) == want
