@@ -8,16 +8,18 @@ off but not certain, and bytes behind them that begin some token. A byte lengthe
 hypothesis, ends a token where the bytes are one that can stand behind the token before it, and
 ends the hypothesis where no token begins so. As soon as all hypotheses agree on their next token
 it is emitted; tokens have a longest length, so the lookahead is bounded. States and transitions
-are made when first met and kept in tables of bounded size; what a full table lacks is computed
-again each time.
+are made when first met and kept in tables of bounded size; the distinct new pieces of some texts
+go through the transducer side by side.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +49,61 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in merged(piece, ranks)]
 
 
+class _Moves:
+    """(state << 8 | byte) to next state and output, in an open hash table that is read and filled by whole arrays."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.n = bits, 0
+        self.keys, self.goal, self.emit = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        at, last = self._slots(keys), len(self.keys) - 1
+        held = self.keys[at]
+        out = np.where(held == keys, at, -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & last
+            held = self.keys[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, goal: np.ndarray, emit: np.ndarray) -> None:
+        """Adds keys that differ and aren't there."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, goal, emit = (np.concatenate(x) for x in ((self.keys[old], keys), (self.goal[old], goal), (self.emit[old], emit)))
+            self.__init__(max(self.bits, int(2 * len(keys)).bit_length()))
+        self.n += len(keys)
+        at, todo, last = self._slots(keys), np.arange(len(keys)), len(self.keys) - 1
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[won]], self.goal[at[won]], self.emit[at[won]] = keys[won], goal[won], emit[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) & last
+
+    def below(self, n: int) -> _Moves:
+        """The moves from and to the first ``n`` states."""
+        some = np.flatnonzero((self.keys >= 0) & (self.keys >> 8 < n) & (self.goal < n))
+        out = _Moves()
+        out.put(self.keys[some], self.goal[some], self.emit[some])
+        return out
+
+
 class Transducer:
-    """Bytes in, token ids out. ``max_states`` bounds the table of states."""
+    """Bytes in, token ids out.
+
+    Many pieces are read side by side. States beyond ``max_states`` are forgotten between two calls:
+    those met first, which are the commonest, stay.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pairs: int = 120_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {r: t for t, r in ranks.items()}
         # a token's last merge; a token that its own merges don't rebuild never appears
@@ -65,27 +118,53 @@ class Transducer:
         # a state: the last token emitted (-1: none, or no hypothesis follows it at once), then tokens and bytes of each hypothesis
         self.index: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        for table in (self.index, self.states, self.moves):  # emptied in place, as they may be in use
-            table.clear()
-        self.missed = 0
+        self.index.clear()
+        self.states.clear()
+        self.moves = _Moves()
+        self.outputs: list[tuple[int, ...]] = [()]
+        self.output_of: dict[tuple[int, ...], int] = {(): 0}
+        self.forgotten = 0
         self._state((-1, (), b""))
 
+    def _forget(self) -> None:
+        """Leaves ``max_states`` states at most, and none but the first after many forgotten ones, as texts may have changed."""
+        if (extra := len(self.states) - self.max_states) <= 0:
+            return
+        self.forgotten += extra
+        if self.forgotten > 20 * self.max_states:
+            self._clear()
+            return
+        for state in self.states[self.max_states :]:
+            del self.index[state]
+        del self.states[self.max_states :]
+        self.moves = self.moves.below(self.max_states)
+
     def _state(self, state: tuple) -> int:
-        """Its number; -1 if the table is full without it. A full table is emptied after many such states, as texts may have changed."""
         if (at := self.index.get(state)) is None:
-            if len(self.states) >= self.max_states:
-                self.missed += 1
-                if self.missed > 20 * self.max_states:
-                    self._clear()
-                return -1
             at = self.index[state] = len(self.states)
             self.states.append(state)
         return at
 
+    def _output(self, tokens: tuple[int, ...]) -> int:
+        if (at := self.output_of.get(tokens)) is None:
+            at = self.output_of[tokens] = len(self.outputs)
+            self.outputs.append(tokens)
+        return at
+
+    def _make(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Goals and outputs of new moves, which are kept."""
+        goal, emit = [], []
+        for key in keys:
+            state, tokens = self._step(self.states[key >> 8], key & 255)
+            goal.append(self._state(state))
+            emit.append(self._output(tokens))
+        made = np.array(goal, np.int32), np.array(emit, np.int32)
+        self.moves.put(np.array(keys, np.int64), *made)
+        return made
+
     def _halve(self, token: bytes, rank: int) -> bool:
         parts = merged(token, self.ranks, 2)
         if len(parts) != 2:
@@ -152,25 +231,51 @@ class Transducer:
         return (last if () in paths else -1, *kept), first[:n]
 
     def encode(self, piece: bytes) -> list[int]:
+        """The tokens of one piece of any length, without the table."""
         out: list[int] = []
-        at, state, get, step = 0, self.states[0], self.moves.get, self._step
+        state = self.states[0]
         for byte in piece:
-            if at >= 0:
-                move = get(at << 8 | byte)
-                if move is not None:
-                    at, tokens = move
-                else:
-                    state, tokens = step(self.states[at], byte)
-                    was, at = at, self._state(state)
-                    if at >= 0:
-                        self.moves[was << 8 | byte] = at, tokens
-            else:  # from a state that the full table lacks
-                state, tokens = step(state, byte)
-                at = self.index.get(state, -1)
-            if tokens:
-                out += tokens
-        state = self.states[at] if at >= 0 else state
-        return out + list(state[state.index(b"", 1) - 1])  # the hypothesis without open bytes
+            state, tokens = self._step(state, byte)
+            out += tokens
+        return out + list(self._end(state))
+
+    @staticmethod
+    def _end(state: tuple) -> tuple[int, ...]:
+        """What is left at the end of a piece: the hypothesis without open bytes."""
+        return state[state.index(b"", 1) - 1]
+
+    def encode_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The tokens of every piece. A round reads one byte of each piece that goes on, the longest first."""
+        self._forget()
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        at, lanes, outs = np.zeros(len(pieces), np.int64), [], []
+        for i in range(int(sizes[0]) if len(sizes) else 0):
+            live = np.searchsorted(-sizes, -i)
+            keys = at[:live] << 8 | data[starts[:live] + i]
+            slots = self.moves.find(keys)
+            goal, emit = self.moves.goal[slots], self.moves.emit[slots]
+            if len(new := np.flatnonzero(slots < 0)):
+                some, back = np.unique(keys[new], return_inverse=True)
+                goal[new], emit[new] = (x[back] for x in self._make(some.tolist()))
+            at[:live] = goal
+            lanes.append(np.flatnonzero(emit))
+            outs.append(emit[lanes[-1]])
+        stops, back = np.unique(at, return_inverse=True)
+        lanes.append(np.arange(len(pieces)))
+        outs.append(np.array([self._output(self._end(self.states[k])) for k in stops.tolist()], np.int32)[back])
+        lane = np.concatenate(lanes)
+        turn = np.argsort(lane, kind="stable")
+        said = list(map(self.outputs.__getitem__, np.concatenate(outs)[turn].tolist()))
+        size = np.fromiter(map(len, said), np.int64, len(said))
+        ends = np.cumsum(np.bincount(lane[turn], size, len(pieces))).astype(np.int64).tolist()
+        tokens, found, begin = tuple(chain.from_iterable(said)), [()] * len(pieces), 0
+        for i, end in zip(order.tolist(), ends):
+            found[i] = tokens[begin:end]
+            begin = end
+        return found
 
 
 class Encoder:
@@ -181,26 +286,66 @@ class Encoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000, longest_kept: int = 64):
-        self.fst, self.split = Transducer(ranks), regex.compile(pattern).findall
+        self.fst, self.split, self.iter = Transducer(ranks), regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.max_pieces, self.longest_kept = max_pieces, longest_kept
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.long: list[str] = []
+
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """The tokens of all ``pieces``, among others, until the next call; each new one is encoded once."""
+        for p in self.long:
+            self.known.pop(p, None)
+        missing = pieces.difference(self.known)
+        if self.known and len(self.known) + len(missing) > self.max_pieces:
+            self.older, self.known = self.known, {}
+            missing = pieces
+        older = self.older
+        self.known.update({p: older[p] for p in missing if p in older})
+        short, self.long = [], []
+        for p in missing.difference(older):
+            (short if len(p) <= self.longest_kept else self.long).append(p)
+        for i in range(0, len(short), 50_000):
+            some = short[i : i + 50_000]
+            self.known.update(zip(some, self._encoded([p.encode("utf-8") for p in some])))
+        self.known.update((p, self._alone(p.encode("utf-8"))) for p in self.long)
+        return self.known
+
+    def _alone(self, piece: bytes) -> tuple[int, ...]:
+        whole = self.fst.ranks.get(piece)
+        return tuple(self.fst.encode(piece)) if whole is None else (whole,)
+
+    def _encoded(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """A piece that is a token is that token, whether or not merges lead there; the others go through the transducer."""
+        whole = list(map(self.fst.ranks.get, pieces))
+        rest = iter(self.fst.encode_many([p for p, r in zip(pieces, whole) if r is None]))
+        return [next(rest) if r is None else (r,) for r in whole]
+
+    def many(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; the distinct pieces of all of them are learned together."""
+        split = [self.split(t) for t in texts]
+        of = self.learn(set(chain.from_iterable(split))).__getitem__
+        return [list(chain.from_iterable(map(of, pieces))) for pieces in split]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece) or tuple(self.fst.encode(piece.encode("utf-8")))
-        if len(piece) <= self.longest_kept:
-            if len(self.known) >= self.max_pieces:
-                self.older = dict(self.known)
-                self.known.clear()  # the same table, as callers hold it
-            self.known[piece] = ids
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text of any length, some pieces at a time."""
+        found, ids = (m.group() for m in self.iter(text)), []
+        while pieces := list(islice(found, 200_000)):
+            ids += chain.from_iterable(map(self.learn(set(pieces)).__getitem__, pieces))
         return ids
 
-    def pieces(self, text: str) -> list[tuple[int, ...]]:
-        known, made = self.known, self.piece
-        return [known.get(p) or made(p) for p in self.split(text)]
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pieces(text)))
+def batched(texts: Iterable[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in lists of about ``chars`` characters; a longer text is alone."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > chars:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
 
 class Utf8Stream:
@@ -307,14 +452,13 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     schema = f"`{id_col}` {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * with_ids
 
     def run(batches):
-        from lodestrand.llm.bpe import codec
+        from lodestrand.llm.bpe import batched, codec
 
         encoder, decoder = codec(ranks.value, pattern)
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                ids = encoder.encode(text)
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for text, ids in ((t, i) for some in batched(texts) for t, i in zip(some, encoder.many(some) if len(some) > 1 else [encoder.encode(some[0])])):
                 said, back = " ".join(map(decoder.decimal.__getitem__, ids)), decoder.decode(ids)
                 cols[0].append(len(ids))
                 cols[1].append(hashlib.sha256(said.encode()).hexdigest())

@@ -1,16 +1,19 @@
 """Edit-aware token counts: a segment tree of pre-tokens per document.
 
-The leaves hold runs of pre-tokens with their characters and token counts, the inner nodes the
-sums. An edit re-splits from the last pre-token that can't depend on it until a new boundary
-meets an old one; only the pre-tokens between are encoded again and only the sums above the
-leaves they lie in are changed.
+The leaves hold runs of pre-tokens with the token count of each, the inner nodes the sums. An edit
+re-splits from the last pre-token that can't depend on it until a new boundary meets an old one;
+only pre-tokens that weren't there before are encoded, and only the sums above the touched leaves
+change. A leaf that grows too long becomes a subtree; a tree that grows too deep is put together
+anew from its leaves, whose counts stay. The edits of many documents go side by side, so that new
+pre-tokens are encoded together.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -25,87 +28,116 @@ LOOKAHEAD = 2
 LEAF = 64
 
 
+class _Node:
+    """A leaf with ``pieces`` and the token count of each, or an inner node; sums of characters and tokens."""
+
+    __slots__ = ("chars", "counts", "left", "pieces", "right", "tokens", "up")
+
+    def fill(self, pieces: list[str], counts: list[int]) -> _Node:
+        self.left = self.right = None
+        self.pieces, self.counts, self.chars, self.tokens = pieces, counts, sum(map(len, pieces)), sum(counts)
+        return self
+
+    def join(self, left: _Node, right: _Node) -> _Node:
+        self.pieces = self.counts = None
+        self.left, self.right, self.chars, self.tokens = left, right, left.chars + right.chars, left.tokens + right.tokens
+        left.up = right.up = self
+        return self
+
+
+def _over(nodes: list[_Node]) -> _Node:
+    """A balanced tree over the nodes, in order."""
+    while len(nodes) > 1:
+        nodes = [_Node().join(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+    return nodes[0]
+
+
+def _grown(pieces: list[str], counts: list[int]) -> _Node:
+    return _over([_Node().fill(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, max(1, len(pieces)), LEAF)])
+
+
 class CountTree:
     """The pre-tokens of one text in leaves of about ``LEAF``; ``count`` is its number of tokens.
 
-    ``encoded`` counts the characters that were encoded after the tree was built.
+    ``encoded`` adds the characters of the pieces that were counted after the tree was built. ``of``: the
+    tokens of all pieces of the text, if they are known.
     """
 
-    def __init__(self, text: str, encoder: bpe.Encoder, pattern):
+    def __init__(self, text: str, encoder: bpe.Encoder, pattern, of: dict[str, tuple[int, ...]] | None = None, pieces: list[str] | None = None):
         self.encoder, self.pattern, self.encoded = encoder, pattern, 0
-        pieces = pattern.findall(text)
-        self._build([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]])
-
-    def _n(self, piece: str) -> int:
-        return len(self.encoder.known.get(piece) or self.encoder.piece(piece))
-
-    def _build(self, leaves: list[list[str]]) -> None:
-        size = 1
-        while size < len(leaves):
-            size *= 2
-        self.size, self.leaves = size, leaves + [[] for _ in range(size - len(leaves))]
-        self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
-        for i, leaf in enumerate(leaves):
-            self.chars[size + i], self.tokens[size + i] = sum(map(len, leaf)), sum(map(self._n, leaf))
-        for i in range(size - 1, 0, -1):
-            self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
+        pieces = pattern.findall(text) if pieces is None else pieces
+        of = encoder.learn(set(pieces)) if of is None else of
+        self._root(_grown(pieces, list(map(len, map(of.__getitem__, pieces)))))
+
+    def _root(self, node: _Node) -> None:
+        self.root = node
+        node.up = None
 
     @property
     def count(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
 
     @property
     def length(self) -> int:
-        return self.chars[1]
+        return self.root.chars
+
+    def _nodes(self) -> Iterator[_Node]:
+        """The leaves in order."""
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            if node.pieces is None:
+                todo += (node.right, node.left)
+            else:
+                yield node
+
+    @property
+    def leaves(self) -> list[list[str]]:
+        return [n.pieces for n in self._nodes()]
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
+        return "".join(chain.from_iterable(self.leaves))
 
-    def _leaf_at(self, pos: int) -> tuple[int, int]:
+    def _leaf_at(self, pos: int) -> tuple[_Node, int]:
         """The leaf that holds character ``pos`` and where it starts; at the end, the last leaf with text."""
-        i, start = 1, 0
+        node, start = self.root, 0
         pos = max(0, min(pos, self.length - 1))
-        while i < self.size:
-            i *= 2
-            if pos >= start + self.chars[i]:
-                start += self.chars[i]
-                i += 1
-        return i - self.size, start
-
-    def _put(self, at: int, leaf: list[str]) -> None:
-        self.leaves[at] = leaf
-        i = at + self.size
-        chars, tokens = sum(map(len, leaf)), sum(map(self._n, leaf))
-        dc, dt = chars - self.chars[i], tokens - self.tokens[i]
-        while i:
-            self.chars[i] += dc
-            self.tokens[i] += dt
-            i //= 2
+        while node.pieces is None:
+            if pos < start + node.left.chars:
+                node = node.left
+            else:
+                start += node.left.chars
+                node = node.right
+        return node, start
 
-    def replace(self, start: int, end: int, new: str) -> None:
-        """Replace the characters from ``start`` up to ``end`` (both cut to the text)."""
+    @staticmethod
+    def _next(node: _Node) -> _Node:
+        while node is node.up.right:
+            node = node.up
+        node = node.up.right
+        while node.pieces is None:
+            node = node.left
+        return node
+
+    def prepare(self, start: int, end: int, new: str) -> tuple:
+        """What replacing the characters from ``start`` up to ``end`` (both cut to the text) asks for; its last item: the pieces to count."""
         start = max(0, min(start, self.length))
         end = max(start, min(end, self.length))
-        first, base = self._leaf_at(max(0, start - LOOKAHEAD))
-        if first and base > start - LOOKAHEAD:
-            first -= 1
-            base -= self.chars[first + self.size]
-        old: list[str] = list(self.leaves[first])
+        leaf, base = self._leaf_at(max(0, start - LOOKAHEAD))
+        touched, old, counts = [leaf], list(leaf.pieces), list(leaf.counts)
         stops = [base, *(base + x for x in accumulate(map(len, old)))]
         keep = max(0, bisect_right(stops, start - LOOKAHEAD) - 1)
-        last = first
-        while True:  # take leaves until the new split meets an old boundary behind the edit
-            while stops[-1] < end and last + 1 < self.size:
-                last += 1
-                for p in self.leaves[last]:
-                    old.append(p)
-                    stops.append(stops[-1] + len(p))
-            body = "".join(old[keep:])
-            from_, shift = stops[keep], len(new) - (end - start)
+        met = None
+        while met is None:  # take leaves until the new split meets an old boundary behind the edit
+            while True:
+                closed = stops[-1] == self.length
+                if closed or stops[-1] >= end and met is None:
+                    break
+                leaf = self._more(touched, old, counts, stops)
+            body, from_, shift = "".join(old[keep:]), stops[keep], len(new) - (end - start)
             text = body[: start - from_] + new + body[end - from_ :]
-            closed = last + 1 >= self.size or not any(self.chars[last + 1 + self.size : 2 * self.size])
             ends = {s + shift: i for i, s in enumerate(stops) if s >= end}
-            made, pos, met = [], from_, None
+            made, pos = [], from_
             safe = from_ + len(text) - (0 if closed else LOOKAHEAD)
             for m in self.pattern.finditer(text):
                 stop = from_ + m.end()
@@ -116,28 +148,64 @@ class CountTree:
                 if pos in ends and pos >= start + len(new):
                     met = ends[pos]
                     break
-            if met is None and closed and pos == from_ + len(text):
-                met = len(old)
-            if met is not None:
-                break
-            last += 1
-            for p in self.leaves[last]:
-                old.append(p)
-                stops.append(stops[-1] + len(p))
-        self.encoded += sum(map(len, made))
-        now = old[:keep] + made + old[met:]
-        self._spread(first, last, now)
-
-    def _spread(self, first: int, last: int, now: list[str]) -> None:
-        """Put the pieces into leaves first to last; where they don't fit, build anew from the leaves."""
-        n = last - first + 1
-        each = -(-len(now) // n) if now else 0
-        if each > 4 * LEAF:
-            leaves = self.leaves[:first] + [now[i : i + LEAF] for i in range(0, len(now), LEAF)] + self.leaves[last + 1 :]
-            self._build([x for x in leaves if x] or [[]])
-            return
-        for k in range(n):
-            self._put(first + k, now[k * each : (k + 1) * each])
+            if met is None:
+                if closed:
+                    met = len(old)
+                else:
+                    self._more(touched, old, counts, stops)
+        had = dict(zip(old[keep:met], counts[keep:met]))
+        return touched, old, counts, keep, met, made, had, {p for p in made if p not in had}
+
+    def _more(self, touched: list, old: list, counts: list, stops: list) -> None:
+        touched.append(self._next(touched[-1]))
+        for p in touched[-1].pieces:
+            old.append(p)
+            stops.append(stops[-1] + len(p))
+        counts += touched[-1].counts
+
+    def apply(self, plan: tuple, of: dict[str, tuple[int, ...]]) -> None:
+        """Does what was prepared; ``of`` has the tokens of the pieces to count."""
+        touched, old, counts, keep, met, made, had, fresh = plan
+        self.encoded += sum(map(len, fresh))
+        pieces = old[:keep] + made + old[met:]
+        counts = counts[:keep] + [had[p] if p in had else len(of[p]) for p in made] + counts[met:]
+        each = -(-len(pieces) // len(touched))
+        for i, leaf in enumerate(touched):
+            self._put(leaf, pieces[i * each : (i + 1) * each], counts[i * each : (i + 1) * each])
+
+    def _put(self, leaf: _Node, pieces: list[str], counts: list[int]) -> None:
+        chars, tokens = leaf.chars, leaf.tokens
+        if len(pieces) <= 4 * LEAF:
+            leaf.fill(pieces, counts)
+        else:
+            grown = _grown(pieces, counts)
+            leaf.join(grown.left, grown.right)
+        up, depth = leaf.up, 0
+        while up is not None:
+            up.chars += leaf.chars - chars
+            up.tokens += leaf.tokens - tokens
+            up, depth = up.up, depth + 1
+        if leaf.pieces is None and depth > 64:
+            self._root(_over(list(self._nodes())))
+
+    def replace(self, start: int, end: int, new: str) -> None:
+        """Replace the characters from ``start`` up to ``end`` (both cut to the text)."""
+        plan = self.prepare(start, end, new)
+        self.apply(plan, self.encoder.learn(plan[-1]))
+
+
+def count_batch(texts: list[str], edits: list[list[dict]], encoder: bpe.Encoder, pattern) -> Iterator[tuple[int, CountTree]]:
+    """Each text's count before its edits, and its tree after them; the first edits of all texts go together, then the second, and so on."""
+    split = [pattern.findall(t) for t in texts]
+    of = encoder.learn(set(chain.from_iterable(split)))
+    trees = [CountTree("", encoder, pattern, of, s) for s in split]
+    before = [t.count for t in trees]
+    for turn in range(max(map(len, edits), default=0)):
+        plans = [(t, t.prepare(e[turn]["start"] or 0, e[turn]["stop"] or 0, e[turn]["text"] or "")) for t, e in zip(trees, edits) if turn < len(e)]
+        of = encoder.learn(set().union(*(plan[-1] for _, plan in plans)))
+        for tree, plan in plans:
+            tree.apply(plan, of)
+    return zip(before, trees)
 
 
 def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -146,7 +214,7 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     edits_col: an array of (start, stop, text) structs, applied in order, each in the characters of the
     text as the edits before it left it; places outside the text are cut to it. Null edits, or one that
     is null, change nothing; a null replacement is empty. Null text counts as empty. encoded_chars:
-    characters that the edits caused to be encoded again. text_sha256: of the edited text. Rows that
+    characters of the pre-tokens that the edits caused to be counted, those not among the ones they replace. text_sha256: of the edited text. Rows that
     repeat an identifier are counted each; an empty table gives an empty result; further columns are
     not read.
     """
@@ -157,18 +225,16 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     names = [id_col, "n_tokens", "n_edits", "n_tokens_after", "encoded_chars", "text_sha256"]
 
     def run(batches):
-        from lodestrand.llm.bpe import codec
-        from lodestrand.llm.token_counts import CountTree
+        from lodestrand.llm.bpe import batched, codec
+        from lodestrand.llm.token_counts import count_batch
 
         encoder, split = codec(ranks.value, pattern)[0], regex.compile(pattern)
         for batch in batches:
-            rows = []
-            for value, edits in zip(batch.column(1), batch.column(2)):
-                tree = CountTree(value.as_py() or "", encoder, split)
-                before, edits = tree.count, [e for e in edits.as_py() or [] if e is not None]
-                for e in edits:
-                    tree.replace(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                rows.append((before, len(edits), tree.count, tree.encoded, hashlib.sha256(tree.text().encode()).hexdigest()))
+            rows, asked = [], (([e for e in x.as_py() or [] if e is not None]) for x in batch.column(2))
+            for texts in batched(x.as_py() or "" for x in batch.column(1)):
+                edits = [next(asked) for _ in texts]
+                for (before, tree), done in zip(count_batch(texts, edits, encoder, split), edits):
+                    rows.append((before, len(done), tree.count, tree.encoded, hashlib.sha256(tree.text().encode()).hexdigest()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 

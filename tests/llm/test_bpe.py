@@ -117,6 +117,50 @@ def test_only_the_touched_region_is_encoded(made):
     assert 0 < tree.encoded < 40
 
 
+def test_no_more_reaches_the_transducer_than_is_reported(made):
+    """Long words aren't remembered, large inserts grow the tree: neither counts again what it had."""
+    encoder, sent = made[0], []
+    many, one = encoder.fst.encode_many, encoder.fst.encode
+    spied = bpe.Encoder(encoder.fst.ranks, P.PATTERN, max_pieces=10)
+    spied.fst.encode_many = lambda pieces: sent.extend(pieces) or many(pieces)
+    spied.fst.encode = lambda piece: sent.append(piece) or one(piece)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    for text, edits in (
+        (" ".join(word(100) for _ in range(60)), [(3000, 3001, "x")]),
+        (" ".join(word(7) for _ in range(20_000)), [(50_000, 50_000, " ".join(word(7) for _ in range(400))), (10, 12, "q"), (50_100, 90_000, "")]),
+    ):
+        tree = token_counts.CountTree(text, spied, regex.compile(P.PATTERN))
+        for a, b, new in edits:
+            sent.clear()
+            before = tree.encoded
+            tree.replace(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert sum(map(len, sent)) <= tree.encoded - before <= len(new) + 250
+        assert tree.text() == text and tree.count == len(made[2].encode_ordinary(text))
+
+
+def test_trees_stay_shallow(made):
+    tree, text = token_counts.CountTree("", made[0], regex.compile(P.PATTERN)), ""
+    for _ in range(150):
+        new = "a b c d e f " * 60
+        tree.replace(len(text), len(text), new)
+        text += new
+    node, depth = tree.root, 0
+    while node.pieces is None:
+        node, depth = node.right, depth + 1
+    assert tree.text() == text and depth <= 80
+
+
+def test_a_piece_that_is_a_token(made):
+    """A rank file with a token that no merges lead to: tiktoken finds it when it is the whole piece."""
+    ranks = {bytes((i,)): i for i in range(256)} | {b"abc": 256, b"de": 257}
+    encoder = bpe.Encoder(ranks, P.PATTERN)
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "abc abc", "abcde", "dede xabc", ""):
+        assert encoder.encode(text) == reference.encode_ordinary(text) == encoder.many([text, "de"])[0]
+
+
 def test_counts_column(spark, made):
     rows = [(1, "one two three", [(4, 7, "2"), None, (0, 0, None)]), (2, None, [(0, 5, "new")]), (3, "same", None), (3, "", []), (None, "x", [(-5, 99, "")])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, edits array<struct<start:bigint,stop:bigint,text:string>>").selectExpr("*", "0 as n_tokens")
