@@ -302,7 +302,7 @@ def _live(entries: DataFrame, forest: DataFrame | None, turn: int) -> DataFrame:
     rows = _with_root(entries, forest)
     cells = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("digest", "n"), F.xxhash64("digest", F.lit(turn))).alias("p"))
     lists = cells.groupBy("h").agg(F.max_by(F.struct("root", "k", "p.digest", "p.n"), F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    return rows.join(lists.where("roots > 1").select("h", "main"), "h")
+    return rows.join(store.detached(lists.where("roots > 1").select("h", "main"), "h"), "h")
 
 
 def _stars(live: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -317,7 +317,7 @@ def _packed(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """(root, name): sets (digest, root) in blocks of about PACK."""
     count = rows.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / PACK).cast("bigint"))
-    rows = rows.join(count, "root").withColumn("part", part).join(nodes.select("digest", "n", "members"), "digest")
+    rows = rows.join(store.detached(count, "root"), "root").withColumn("part", part).join(nodes.select("digest", "n", "members"), "digest")
     return rows.groupBy("root", "part").agg(F.collect_list(F.struct("digest", "n", "members")).alias(name)).drop("part")
 
 
@@ -325,11 +325,11 @@ def _last_links(live: DataFrame, nodes: DataFrame, forest: DataFrame, tested: Da
     """(a, b): links between components that remain."""
     outside = live.where("root <> main.root")
     sizes = forest.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
-    reach = outside.groupBy("digest", F.col("main.root").alias("root")).agg(F.sum("main.k").alias("met")).join(sizes, "root", "left")
+    reach = outside.groupBy("digest", F.col("main.root").alias("root")).agg(F.sum("main.k").alias("met")).join(store.detached(sizes, "root"), "root", "left")
     reach, path = store.settle(reach.select("digest", "root", (F.col("met") >= F.coalesce("size", F.lit(1))).alias("dense")), "ngram-reach")
     paths.append(path)
     dense = reach.where("dense").select("digest", "root")
-    members = _with_root(nodes.select("digest"), forest).join(dense.select("root").distinct(), "root", "left_semi")
+    members = _with_root(nodes.select("digest"), forest).join(store.detached(dense.select("root").distinct(), "root"), "root", "left_semi")
     blocks = _packed(dense, nodes, "ours").join(_packed(members, nodes, "theirs"), "root").select("ours", "theirs")
     links, path = store.settle(blocks.mapInArrow(_block_verifier(percent), "a binary, b binary"), "ngram-links")
     paths.append(path)
@@ -398,7 +398,7 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = sets.where("digest is not null").select("digest", F.array_min(F.filter("ids", lambda x: x.isNotNull())).alias("low")).groupBy("digest").agg(F.min("low").alias("low"))
     rooted = _with_root(least, forest)
     roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = rooted.join(roots, "root").select("digest", "component_id")
+    of_set = rooted.join(store.detached(roots, "root"), "root").select("digest", "component_id")
     # a set's copies are still lists, a few rows a set, when they are joined
     out = sets.select("digest", "n", "ids").join(of_set, "digest", "left").select(F.explode("ids").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.col("digest").isNull().alias("alone"), "component_id")
     done, _ = store.settle(out.select("doc_id", "n_shingles", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "ngram-components")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 
@@ -18,13 +20,15 @@ _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests on one machine) a folder of our own is made and set once.
+    Where the setting is absent (tests on one machine) a folder of our own is made and set once; a cluster without the setting raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
         if not path:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -43,6 +47,11 @@ def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def detached(df: DataFrame, key: str) -> DataFrame:
+    """``df``, one row a key, dealt out by something else than the key: a join on it shuffles both sides anew, so Spark can split a hot key of the other side."""
+    return df.repartition(F.xxhash64(F.col(key), F.lit("detached")))
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
     gc.collect()
@@ -57,8 +66,8 @@ def remove(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows in a batch that goes to a Python worker; whole texts go with them.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch that goes to a Python worker, at most; a longer row is alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,6 +75,7 @@ def ship(spark: SparkSession) -> None:
     sc, name = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
