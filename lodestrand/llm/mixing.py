@@ -3,7 +3,8 @@
 A source with n of N rows and target weight w gets the mean repetition rate w * size / n. Each
 document's count is the inverse of the Poisson distribution of that rate at a uniform number
 hashed from seed and identifier; the document is exploded by its count, and the copies are
-ordered globally by a hash of seed, identifier and copy number.
+ordered globally by a hash of seed, identifier and copy number. A source's distribution function
+is made once, around its mode, and every document finds its count in it.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Up to so many sources the table of rates is broadcast; beyond, it is joined by salted keys.
-BROADCAST_SOURCES = 10_000
+from lodestrand.llm import store
+
+#: Up to so many values of all distribution functions (8 bytes each) they are broadcast; beyond, they are joined by salted keys.
+BROADCAST_VALUES = 1_000_000
 SALTS = 64
-#: Up to this rate the terms of a distribution function are added from 0.
-MAX_RATE = 500.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -25,26 +27,28 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The least k whose Poisson(rate) distribution function exceeds u; terms are added until they vanish in a double.
+def distributions(rates: DataFrame) -> DataFrame:
+    """``rates`` (source, n, rate) with ``first`` and ``cdf``: the Poisson(rate) distribution function from k = first on.
 
-    Up to ``MAX_RATE`` they are added from k = 0. Beyond, where exp(-rate) would vanish in the end, from a k so far below
-    the mode that what lies before it is nothing in a double; its term comes from Stirling's series.
+    ``first`` lies so far below the mode that what is before it is nothing in a double, and the values end so far
+    above it that more change nothing. The first term comes from Stirling's series, the others from
+    the logarithms of rate / k added up, so no rate is too large for a double.
     """
-    reach = 12 * F.sqrt(rate) + 30
-    top = F.ceil(rate + reach).cast("int")
-    first = F.when(rate > MAX_RATE, F.floor(rate - reach)).otherwise(0).cast("int")
-    at = F.greatest(first, F.lit(1)).cast("double")
-    far = F.exp(at * F.ln(rate / at) + at - rate - F.ln(2 * math.pi * at) / 2 - 1 / (12 * at) + 1 / (360 * at * at * at))
-    least = F.when(first > 0, far).otherwise(F.exp(-rate))
-    start = F.struct(least.alias("p"), least.alias("cdf"), first.alias("k"))
+    rate, reach = F.col("rate"), 12 * F.sqrt("rate") + 30
+    rows = rates.where("rate > 0").withColumn("first", F.greatest(F.floor(rate - reach), F.lit(0)).cast("bigint"))
+    at = F.greatest(F.col("first"), F.lit(1)).cast("double")
+    far = at * F.ln(rate / at) + at - rate - F.ln(2 * math.pi * at) / 2 - 1 / (12 * at) + 1 / (360 * at * at * at)
+    rows = rows.withColumn("start", F.when(F.col("first") > 0, far).otherwise(-rate))
+    terms = rows.select("source", "n", "rate", "first", "start", F.explode(F.sequence("first", F.ceil(rate + reach).cast("bigint"))).alias("k"))
+    up_to = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("k") > F.col("first"), F.ln(rate / F.col("k"))).otherwise(F.lit(0.0))
+    terms = terms.withColumn("p", F.exp(F.col("start") + F.sum(step).over(up_to))).withColumn("c", F.sum("p").over(up_to))
+    return terms.groupBy("source", "n", "rate", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
 
-    def add(acc: Column, j: Column) -> Column:
-        p = acc["p"] * rate / j
-        go = acc["cdf"] <= u
-        return F.struct(F.when(go, p).otherwise(acc["p"]).alias("p"), F.when(go, acc["cdf"] + p).otherwise(acc["cdf"]).alias("cdf"), F.when(go, j).otherwise(acc["k"]).alias("k"))
 
-    return F.aggregate(F.sequence(first + 1, top), start, add, lambda acc: acc["k"])
+def poisson_inverse(u: Column, first: Column, cdf: Column) -> Column:
+    """The least k whose distribution function exceeds u: as many values as don't lie behind ``first``."""
+    return (first + F.size(F.filter(cdf, lambda c: c <= u))).cast("int")
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, temperature: float, size: float | None) -> DataFrame:
@@ -56,7 +60,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
         weight = F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0.0))
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
-    counts = counts.select("source", "n", weight.alias("w")).persist()
+    counts, _ = store.settle(counts.select("source", "n", weight.alias("w")), "sources")
     all_w, all_n = counts.agg(F.sum("w"), F.sum("n")).first()
     scale = (float(all_n or 0) if size is None else float(size)) / all_w if all_w else 0.0
     return counts.select("source", "n", (F.col("w") * F.lit(scale) / F.col("n")).alias("rate"))
@@ -75,17 +79,17 @@ def poisson_mix(
     identifier are seeded as the text ``null``; rows that repeat an identifier draw the same
     number, each for itself. An empty table gives an empty result. Columns of any name are kept as they are.
     """
-    rates = source_rates(docs, source_col, weights, temperature, size)
+    rates, _ = store.settle(distributions(source_rates(docs, source_col, weights, temperature, size)), "rates")
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.select(row, F.col(source_col).alias("source"), ident.alias("ident"))
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if (rates.agg(F.sum(F.size("cdf") + F.lit(8))).first()[0] or 0) <= BROADCAST_VALUES:
         joined = rows.join(F.broadcast(rates), rows["source"].eqNullSafe(rates["source"]))
     else:
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(SALTS)))
         spread = rates.withColumn("salt2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         joined = salted.join(spread, salted["source"].eqNullSafe(spread["source"]) & (F.col("salt") == F.col("salt2")))
-    count = poisson_inverse(uniform(F.lit(str(seed)), F.col("ident")), F.col("rate"))
+    count = poisson_inverse(uniform(F.lit(str(seed)), F.col("ident")), F.col("first"), F.col("cdf"))
     copies = joined.select("row", "ident", "rate", count.alias("n_copies")).where("n_copies > 0")
     copies = copies.select("*", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col("ident"), F.col("copy").cast("string")))

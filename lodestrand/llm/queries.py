@@ -131,11 +131,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
     "op10_poisson_mix": """
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 r AS (SELECT source, sqrt(n::DOUBLE) / (SELECT sum(sqrt(n::DOUBLE)) FROM c) * (SELECT sum(n) FROM c) / n AS rate FROM c),
-k AS (SELECT source, rate, unnest(range(0, 2000)) AS k FROM r),
+k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT)) AS k FROM r),
 cdf AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 u AS (SELECT doc_id, source, text, ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
 d AS (SELECT doc_id, u.source, any_value(text) AS text, any_value(rate) AS rate, (count(*) FILTER (cdf <= u))::INT AS n_copies
-      FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND k < 60 GROUP BY doc_id, u.source)
+      FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY doc_id, u.source)
 SELECT doc_id, source, round(rate, 6) AS rate, n_copies, copy::INT AS copy, md5('order42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256
 FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM d WHERE n_copies > 0)""",
 }

@@ -105,10 +105,25 @@ def test_large_rates_and_the_salted_way(spark, monkeypatch):
     n = mixing.poisson_mix(df, size=40 * 700).count()
     assert abs(n - 28_000) < 1500
     want = sorted(map(tuple, mixing.poisson_mix(df, info=False).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_VALUES", -1)
     assert sorted(map(tuple, mixing.poisson_mix(df, info=False).collect())) == want
 
 
+@pytest.mark.parametrize("rate", [1, 400, 1500])
+def test_mean_and_variance(spark, rate):
+    n = 4000
+    counts = [r["n"] for r in mixing.poisson_mix(spark.range(n).selectExpr("id as doc_id", "'a' as source"), size=rate * n).groupBy("doc_id").count().selectExpr("count as n").collect()]
+    counts += [0] * (n - len(counts))
+    mean = sum(counts) / n
+    variance = sum((c - mean) ** 2 for c in counts) / (n - 1)
+    assert abs(mean - rate) < 5 * math.sqrt(rate / n) and abs(variance / rate - 1) < 5 * math.sqrt(2 / n) + 5 / math.sqrt(rate * n)
+
+
+def test_mix_plan_is_native(spark):
+    plan = mixing.poisson_mix(spark.range(9).selectExpr("id as doc_id", "'a' as source"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # --- shards ------------------------------------------------------------------------------------------
 
 

@@ -47,7 +47,9 @@ def exact_inverse(u, rate):
 def test_counts_at_any_rate_are_the_inverse(spark):
     draws = [(i * 37 % 200 + 0.5) / 200 for i in range(25)]
     cases = [(u, rate) for rate in (3.5, 75.0, 499.5, 500.5, 700.0, 1500.0) for u in draws]
-    got = spark.createDataFrame(cases, "u double, rate double").select("u", "rate", mixing.poisson_inverse(F.col("u"), F.col("rate")).alias("k")).collect()
+    made = mixing.distributions(spark.createDataFrame([(str(r), 1, r) for _, r in cases[::25]], "source string, n bigint, rate double"))
+    asked = spark.createDataFrame([(i, u, str(r)) for i, (u, r) in enumerate(cases)], "i int, u double, source string").join(made, "source")
+    got = asked.select("i", mixing.poisson_inverse(F.col("u"), F.col("first"), F.col("cdf")).alias("k")).orderBy("i").collect()
     assert [r["k"] for r in got] == [exact_inverse(u, rate) for u, rate in cases]
     df = spark.range(40).selectExpr("id as doc_id", "'a' as source")
     counts = {r["doc_id"]: r["mix"]["n_copies"] for r in mixing.poisson_mix(df, size=40 * 700).collect()}
