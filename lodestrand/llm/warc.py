@@ -1,14 +1,17 @@
 """WARC archives with revisit resolution.
 
-Only headers (identifier, payload digest, length) are shuffled to find, for each digest, the
-record that stays the response; a second join by digest tells each record what it refers to. The
+Only headers (identifier, payload digest, length) are shuffled by digest to find, for each digest, the
+record that stays the response. What the payloads meet is the table of the records that are not: by
+broadcast if that is small, else by record, so that no payload goes to the task of its digest. The
 archives are written by Spark's text writer, whose line separator is the end of a WARC record, so
-they go to any file system Spark can write, and are read as binary files by a parser that follows
-Content-Length.
+they go to any file system Spark can write (a file is one gzip member, as that writer makes it), and
+are read as binary files by a parser that follows Content-Length and checks the digests.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.llm import store
 
@@ -24,6 +28,10 @@ CONV32, RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 RECORDS_PER_FILE = 2000
+#: Payloads of more bytes go to files of their own, as many to a file as fit into FILE_BYTES.
+LARGE_BYTES, FILE_BYTES = 1 << 17, 1 << 28
+#: Up to so many rows a table of short rows is broadcast; beyond, it is repeated for each salt.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
 def base32_sha1(data: Column) -> Column:
@@ -33,18 +41,49 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), CONV32, RFC32)
 
 
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, how: str = "inner") -> DataFrame:
+    """Joins ``rows`` with a table of one row a key (null equals null); rows of a hot key stay spread."""
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS))
+    table = table.withColumnsRenamed({k: f"its_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"its_{k}")) for k in keys]
+    if small:
+        joined = rows.join(F.broadcast(table), match, how)
+    elif "record_id" in keys:
+        joined = rows.join(table, match, how)
+    else:
+        table = table.withColumn("its_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        joined = rows.join(table, [*match, salt == F.col("its_salt")], how).drop("its_salt")
+    return joined.drop(*(f"its_{k}" for k in keys))
+
+
+def _is_small(table: DataFrame) -> bool:
+    return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Digest to the smallest identifier of its records: one row per digest, from headers only."""
-    return heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("record_id").alias("first_id"))
+    """(record_id, payload_digest, first_id) of the records that revisit another, from headers only.
+
+    Of the records of a digest the one with the smallest identifier is the first; digests of one record don't matter.
+    """
+    same = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    firsts, path = store.settle(same.where("n > 1 and first_id is not null").drop("n"), "warc-firsts")
+    met = _meet(heads, firsts, ["payload_digest"], _is_small(firsts)).where("not (record_id <=> first_id)")
+    found, _ = store.settle(met.select("record_id", "payload_digest", "first_id").distinct(), "warc-revisits")
+    store.remove(heads.sparkSession, path)
+    return found
 
 
-def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, min_bytes: int, date: str) -> DataFrame:
-    """(record_id, record_type, warc): the text of each record without the final CRLF CRLF."""
+def _base(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
+    if not isinstance(pages.select(F.col(id_col)).schema[0].dataType, T.IntegralType):
+        raise TypeError(f"{id_col}: record identifiers are whole numbers")
     payload = F.coalesce(F.col(body_col), F.lit(""))
-    base = pages.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), base32_sha1(payload.cast("binary")).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_bytes"))
-    firsts = resolve(base.select("record_id", "payload_digest", "payload_bytes"), min_bytes)
-    base = base.join(firsts, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
+    return pages.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), base32_sha1(payload.cast("binary")).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_bytes"))
+
+
+def records(base: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
+    """(record_id, payload_bytes, record_type, warc): the text of each record without the final CRLF CRLF."""
+    base = _meet(base, revisits, ["record_id", "payload_digest"], _is_small(revisits), "left")
+    revisit = F.col("first_id").isNotNull()
     # an identifier in the archive is the number of the record; null is written as nil
     urn = lambda c: F.concat(F.lit("<urn:lodestrand:"), F.coalesce(c.cast("string"), F.lit("nil")), F.lit(">"))
     clean = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7f]", "%20")
@@ -59,7 +98,7 @@ def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, min_byte
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return base.select("record_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.concat(head, F.lit(CRLF * 2), block).alias("warc"))
+    return base.select("record_id", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.concat(head, F.lit(CRLF * 2), block).alias("warc"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, date: str = "2025-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -69,11 +108,19 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     becomes a response, the others revisits of it without payload; shorter payloads are all
     responses. Null html is the empty payload, a null url gives no target URI, control characters
     and spaces in a url become %20. Rows that repeat the smallest identifier are all responses; a
-    null identifier is larger than any, and alone in its group a response. An empty table writes no
-    records. Further columns are not read. A file holds ``records_per_file`` records at most.
+    null identifier is larger than any, and alone in its group a response. Identifiers are whole
+    numbers; others raise TypeError. An empty table writes no records. Further columns are not read.
+    A file holds ``records_per_file`` records at most, or a few of more than ``LARGE_BYTES``, and so
+    about ``FILE_BYTES`` or one record.
     """
-    made = records(pages, id_col, url_col, body_col, min_bytes, date).select("warc")
-    made.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    spark, base = pages.sparkSession, _base(pages, id_col, url_col, body_col)
+    heads, heads_path = store.settle(base.select("record_id", "payload_digest", "payload_bytes"), "warc-heads")
+    most = heads.agg(F.max("payload_bytes")).first()[0] or 0
+    made = records(base, resolve(heads, min_bytes), date)
+    for rows, per_file in ((made.where(F.col("payload_bytes") <= LARGE_BYTES), records_per_file), (made.where(F.col("payload_bytes") > LARGE_BYTES), min(records_per_file, max(1, FILE_BYTES // max(1, most))))):
+        if per_file == records_per_file or most > LARGE_BYTES:
+            rows.select("warc").write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    store.remove(spark, heads_path)
 
 
 class RecordReader:
@@ -147,7 +194,10 @@ def _parse(batches):
             for head, block in RecordReader(inflate(data.as_buffer())):
                 kind, body = head["warc-type"], block.partition(b"\r\n\r\n")[2]
                 whole = kind == "response"
-                rows.append((_number(head["warc-record-id"]), kind, head["warc-payload-digest"].removeprefix("sha1:"), _number(head.get("warc-refers-to")), len(body) if whole else None, head.get("warc-target-uri"), body.decode("utf-8") if whole else None))
+                digest = head["warc-payload-digest"].removeprefix("sha1:")
+                if whole and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+                    raise ValueError(f"the payload of {head['warc-record-id']} doesn't have its digest")
+                rows.append((_number(head["warc-record-id"]), kind, digest, _number(head.get("warc-refers-to")), len(body) if whole else None, head.get("warc-target-uri"), body.decode("utf-8") if whole else None))
                 held += len(body)
                 if held > 4 << 20 or len(rows) >= 2000:
                     yield pack(rows)
@@ -157,7 +207,7 @@ def _parse(batches):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under ``path``, revisits without payload: see READ_SCHEMA."""
+    """Every record under ``path``, revisits without payload: see READ_SCHEMA. A response whose payload doesn't have the digest in its header raises ValueError."""
     store.ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_parse, READ_SCHEMA)
@@ -166,15 +216,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved_headers(archived: DataFrame) -> DataFrame:
     """The headers of all records; a revisit takes its length from the response with its digest."""
     heads = archived.select("record_id", "record_type", "payload_digest", "refers_to", "payload_bytes")
-    full = heads.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
-    revisits = heads.where("record_type = 'revisit'").drop("payload_bytes").join(full, "payload_digest")
-    return heads.where("record_type = 'response'").unionByName(revisits.withColumnRenamed("full_bytes", "payload_bytes"))
+    revisits = heads.where("record_type = 'revisit'").drop("payload_bytes")
+    asked = revisits.select("payload_digest", F.col("refers_to").alias("record_id")).distinct()
+    full = heads.where("record_type = 'response'").join(asked, ["record_id", "payload_digest"]).groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    full, _ = store.settle(full, "warc-originals")
+    return heads.where("record_type = 'response'").unionByName(_meet(revisits, full, ["payload_digest"], _is_small(full)))
 
 
 def dedup_roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write the archives of ``pages``, read them back, and return the resolved headers."""
+    """Write the archives of ``pages``, read them back, and return the resolved headers. The archives go when they are read."""
     spark = pages.sparkSession
     path = store.table_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, body_col, min_bytes)
     heads, _ = store.settle(read_archives(spark, path).drop("payload", "url"), "warc-headers")
+    store.remove(spark, path)
     return resolved_headers(heads)

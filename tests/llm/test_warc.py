@@ -61,6 +61,44 @@ def test_archives_are_warc(spark, tmp_path):
     assert {r["payload"] for r in full} == {h or "" for _, _, h in ROWS}
 
 
+def test_large_payloads_and_the_salted_way(spark, monkeypatch, tmp_path):
+    rows = [(i, f"http://x/{i}", "big" * 20_000_000 if i == 7 else f"p{i % 5}" * 50_000) for i in range(12)] + [(i, None, "hot") for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    want = brute(rows, 0)
+    collect = lambda: Counter((r["record_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.dedup_roundtrip(df).collect())
+    assert collect() == want
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    assert collect() == want
+    warc.write_archives(df, str(tmp_path / "w"))
+    assert max(len(zlib.decompress(f.read_bytes(), 31)) for f in (tmp_path / "w").glob("*.gz") if f.stat().st_size < 40_000) < 2 << 20
+
+
+def test_damage_is_found(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(1, "http://a/", "payload one")], "page_id bigint, url string, html string")
+    warc.write_archives(df, str(tmp_path / "w"))
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 1
+    [data] = filter(None, (gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz")))
+    damaged = gzip.compress(data.replace(b"payload one", b"payload 0ne"))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.gz").write_bytes(damaged)
+    with pytest.raises(Exception, match="doesn't have its digest"):
+        warc.read_archives(spark, str(tmp_path / "d")).collect()
+    with pytest.raises(TypeError):
+        warc.write_archives(df.selectExpr("cast(page_id as string) as page_id", "url", "html"), str(tmp_path / "x"))
+
+
+def test_payloads_stay_out_of_the_shuffle(spark):
+    """The payload meets the table of revisits by broadcast while that is small."""
+    df = spark.createDataFrame(ROWS, "page_id bigint, url string, html string")
+    base = warc._base(df, "page_id", "url", "html")
+    revisits = warc.resolve(base.select("record_id", "payload_digest", "payload_bytes"))
+    plan = warc.records(base, revisits, "2025-01-01T00:00:00Z")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_reader_follows_lengths():
     record = b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\ncde\r\n\r\n"
     for step in (1, 3, 7, 1000):
