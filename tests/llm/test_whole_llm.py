@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_twentieth_document_is_a_query(spark):
-    got = queries.QUERIES["op5_bm25_topk_documents"](spark, SF).toPandas()
+    got = queries.QUERIES["op5_bm25_topk"](spark, SF).toPandas()
     asked = queries.table(spark, SF, "documents").where("doc_id % 20 = 0 and text rlike '[a-zA-Z]'").toPandas()
     assert len(asked) >= 10 and set(got.query_id) == set(asked.doc_id)
     assert (got.groupby("query_id")["rank"].max() == 10).mean() > 0.8
