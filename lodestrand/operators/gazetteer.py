@@ -13,16 +13,39 @@ from pyspark.sql import functions as F
 from lodestrand.functions import lexicon as L
 from lodestrand.functions import text as T
 
-# Other names of countries.
+# Other names of countries, and their adjectives.
 ALIASES = (
-    ("usa", "USA"), ("us", "USA"), ("u.s.", "USA"), ("u.s.a.", "USA"), ("america", "USA"), ("american", "USA"), ("united states of america", "USA"),
-    ("uk", "GBR"), ("u.k.", "GBR"), ("britain", "GBR"), ("great britain", "GBR"), ("england", "GBR"), ("scotland", "GBR"), ("wales", "GBR"), ("british", "GBR"),
-    ("south korea", "KOR"), ("republic of korea", "KOR"), ("korea", "KOR"), ("north korea", "PRK"), ("russia", "RUS"), ("russian federation", "RUS"),
-    ("ethiopian", "ETH"), ("brazilian", "BRA"), ("chinese", "CHN"), ("mexican", "MEX"), ("canadian", "CAN"), ("german", "DEU"), ("french", "FRA"),
-    ("indian", "IND"), ("japanese", "JPN"), ("australian", "AUS"), ("vietnam", "VNM"), ("viet nam", "VNM"), ("laos", "LAO"), ("iran", "IRN"), ("syria", "SYR"),
-    ("ivory coast", "CIV"), ("cote d'ivoire", "CIV"), ("czech republic", "CZE"), ("holland", "NLD"), ("burma", "MMR"), ("swaziland", "SWZ"), ("macedonia", "MKD"),
-    ("turkey", "TUR"), ("uae", "ARE"), ("emirates", "ARE"), ("dr congo", "COD"), ("drc", "COD"), ("tanzania", "TZA"), ("bolivia", "BOL"), ("venezuela", "VEN"),
-    ("moldova", "MDA"), ("taiwan", "TWN"), ("palestine", "PSE"), ("brunei", "BRN"), ("cape verde", "CPV"), ("east timor", "TLS"), ("vatican", "VAT"),
+    ("us", "USA"), ("usa", "USA"), ("u.s.", "USA"), ("u.s.a.", "USA"), ("uk", "GBR"), ("u.k.", "GBR"), ("uae", "ARE"), ("u.a.e.", "ARE"),
+    ("drc", "COD"), ("dr congo", "COD"), ("rok", "KOR"), ("dprk", "PRK"), ("prc", "CHN"), ("america", "USA"), ("united states", "USA"),
+    ("united states of america", "USA"), ("britain", "GBR"), ("great britain", "GBR"), ("united kingdom", "GBR"), ("england", "GBR"),
+    ("scotland", "GBR"), ("wales", "GBR"), ("holland", "NLD"), ("the netherlands", "NLD"), ("ivory coast", "CIV"), ("cote d'ivoire", "CIV"),
+    ("côte d'ivoire", "CIV"), ("czech republic", "CZE"), ("czechia", "CZE"), ("south korea", "KOR"), ("south sudan", "SSD"), ("greenland", "GRL"),
+    ("montenegro", "MNE"), ("puerto rico", "USA"), ("new caledonia", "NCL"), ("falkland islands", "FLK"), ("falklands", "FLK"),
+    ("republic of korea", "KOR"), ("north korea", "PRK"), ("democratic people's republic of korea", "PRK"), ("burma", "MMR"), ("myanmar", "MMR"),
+    ("persia", "IRN"), ("swaziland", "SWZ"), ("eswatini", "SWZ"), ("east timor", "TLS"), ("timor-leste", "TLS"), ("zaire", "COD"),
+    ("congo-kinshasa", "COD"), ("democratic republic of the congo", "COD"), ("congo-brazzaville", "COG"), ("republic of the congo", "COG"),
+    ("congo", "COG"), ("palestine", "PSE"), ("palestinian territories", "PSE"), ("west bank", "PSE"), ("gaza", "PSE"), ("hong kong", "HKG"),
+    ("macau", "MAC"), ("macao", "MAC"), ("taiwan", "TWN"), ("brunei darussalam", "BRN"), ("cabo verde", "CPV"), ("cape verde", "CPV"),
+    ("laos", "LAO"), ("lao pdr", "LAO"), ("russia", "RUS"), ("russian federation", "RUS"), ("soviet union", "RUS"), ("ussr", "RUS"), ("iran", "IRN"),
+    ("syria", "SYR"), ("libya", "LBY"), ("venezuela", "VEN"), ("bolivia", "BOL"), ("tanzania", "TZA"), ("vietnam", "VNM"), ("viet nam", "VNM"),
+    ("north macedonia", "MKD"), ("macedonia", "MKD"), ("bosnia", "BIH"), ("bosnia and herzegovina", "BIH"), ("serbia", "SRB"), ("yugoslavia", "SRB"),
+    ("serbia and montenegro", "SRB"), ("western sahara", "ESH"), ("french guiana", "GUF"), ("papua new guinea", "PNG"), ("new zealand", "NZL"),
+    ("south africa", "ZAF"), ("saudi arabia", "SAU"), ("sri lanka", "LKA"), ("trinidad and tobago", "TTO"), ("el salvador", "SLV"),
+    ("costa rica", "CRI"), ("central african republic", "CAF"), ("equatorial guinea", "GNQ"), ("guinea-bissau", "GNB"), ("sierra leone", "SLE"),
+    ("burkina faso", "BFA"), ("san marino", "SMR"), ("turkiye", "TUR"), ("türkiye", "TUR"), ("turkey", "TUR"), ("american", "USA"),
+    ("mexican", "MEX"), ("canadian", "CAN"), ("brazilian", "BRA"), ("chinese", "CHN"), ("indian", "IND"), ("german", "DEU"), ("french", "FRA"),
+    ("british", "GBR"), ("japanese", "JPN"), ("korean", "KOR"), ("korea", "KOR"), ("australian", "AUS"), ("russian", "RUS"), ("italian", "ITA"),
+    ("spanish", "ESP"), ("colombian", "COL"), ("chilean", "CHL"), ("peruvian", "PER"), ("argentine", "ARG"), ("argentinian", "ARG"),
+    ("venezuelan", "VEN"), ("ecuadorian", "ECU"), ("bolivian", "BOL"), ("paraguayan", "PRY"), ("uruguayan", "URY"), ("guatemalan", "GTM"),
+    ("honduran", "HND"), ("salvadoran", "SLV"), ("nicaraguan", "NIC"), ("costa rican", "CRI"), ("panamanian", "PAN"), ("cuban", "CUB"),
+    ("dominican", "DOM"), ("haitian", "HTI"), ("jamaican", "JAM"), ("ethiopian", "ETH"), ("kenyan", "KEN"), ("nigerian", "NGA"), ("ghanaian", "GHA"),
+    ("south african", "ZAF"), ("egyptian", "EGY"), ("moroccan", "MAR"), ("tunisian", "TUN"), ("algerian", "DZA"), ("sudanese", "SDN"),
+    ("tanzanian", "TZA"), ("ugandan", "UGA"), ("thai", "THA"), ("vietnamese", "VNM"), ("indonesian", "IDN"), ("malaysian", "MYS"),
+    ("philippine", "PHL"), ("filipino", "PHL"), ("cambodian", "KHM"), ("burmese", "MMR"), ("pakistani", "PAK"), ("afghan", "AFG"), ("iranian", "IRN"),
+    ("iraqi", "IRQ"), ("saudi", "SAU"), ("turkish", "TUR"), ("israeli", "ISR"), ("palestinian", "PSE"), ("jordanian", "JOR"), ("lebanese", "LBN"),
+    ("syrian", "SYR"), ("polish", "POL"), ("ukrainian", "UKR"), ("romanian", "ROU"), ("hungarian", "HUN"), ("czech", "CZE"), ("swedish", "SWE"),
+    ("norwegian", "NOR"), ("finnish", "FIN"), ("danish", "DNK"), ("dutch", "NLD"), ("belgian", "BEL"), ("swiss", "CHE"), ("austrian", "AUT"),
+    ("portuguese", "PRT"), ("greek", "GRC"), ("irish", "IRL"), ("scottish", "GBR"), ("welsh", "GBR"),
 )
 #: Boundary files' codes where they differ.
 BOUNDARY_CODES = {"ROU": "ROM", "COD": "ZAR", "TLS": "TMP", "SRB": "YUG"}
@@ -57,14 +80,15 @@ def contains_term(text: Column, term: Column, inside: str = "a-z0-9") -> Column:
 
 
 def _first_word(term: Column) -> Column:
-    return F.regexp_extract(term, "[a-z0-9]+", 0)
+    """Its first run of a-z and 0-9; of a term without any its first character."""
+    return F.coalesce(F.nullif(F.regexp_extract(term, "[a-z0-9]+", 0), F.lit("")), F.substring(F.trim(term), 1, 1))
 
 
 def mentions(texts: DataFrame, key: list[str], text_col: str, gazetteer: DataFrame) -> DataFrame:
     """(key, term, code, prio): every alias or name that stands in a text by itself."""
     names = gazetteer.where("kind <> 'code'").withColumn("_w", _first_word(F.col("term")))
     rows = texts.select(*key, F.lower(text_col).alias("_t")).where("_t is not null")
-    words = rows.select(*key, "_t", F.explode(F.array_distinct(T.all_matches(F.col("_t"), "[a-z0-9]+"))).alias("_w"))
+    words = rows.select(*key, "_t", F.explode(F.array_distinct(T.all_matches(F.col("_t"), r"[a-z0-9]+|[^\x00-\x7f]"))).alias("_w"))
     plain = words.join(names.where("_w <> ''"), "_w")
     return plain.where(contains_term(F.col("_t"), F.col("term"))).select(*key, "term", "code", "prio")
 

@@ -131,3 +131,13 @@ def test_merge_results(spark):
     rows = spark.createDataFrame([(0, 0, "t", "s", "http://a/"), (1, 0, "t", "s", "HTTP://A"), (1, 1, "T ", "s", ""), (1, 2, "t", " S", None)], "backend int, ord int, title string, snippet string, url string")
     got = merge.merge_results(rows.selectExpr("1 as q", "*"), ["q"], ["backend", "ord"], 5).orderBy("rank").collect()
     assert [(r["backend"], r["ord"]) for r in got] == [(0, 0), (1, 1)]
+
+
+def test_every_alias_and_names_without_latin_letters(spark):
+    aliases = list(gazetteer.ALIASES)
+    assert len(aliases) > 180 and len({a for a, _ in aliases}) == len(aliases)
+    found = gazetteer.resolve(spark.createDataFrame([(i, f"exports of {a}, mostly") for i, (a, _) in enumerate(aliases)], "id int, t string"), ["id"], "t", gazetteer.terms(spark.createDataFrame([], "code string, name string"), spark.createDataFrame(aliases, "alias string, code string")))
+    assert {r["id"]: r["code"] for r in found.collect()} == {i: c for i, (_, c) in enumerate(aliases)}
+    places = gazetteer.terms(spark.createDataFrame([("JPN", "日本"), ("EGY", "مصر"), ("CIV", "Côte d'Ivoire")], "code string, name string"))
+    rows = spark.createDataFrame([(1, "東京は日本の首都"), (2, "قمح مصر"), (3, "cocoa (côte d'ivoire)"), (4, "日 本"), (5, "日本")], "id int, t string")
+    assert {r["id"]: r["code"] for r in gazetteer.resolve(rows, ["id"], "t", places).collect()} == {1: "JPN", 2: "EGY", 3: "CIV", 4: None, 5: "JPN"}
