@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import tokens
+from lodestrand.sources.scratch import cut
 
 
 def term_counts(texts: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
@@ -38,14 +39,15 @@ class TfIdfIndex:
     postings: DataFrame
     n_docs: int
     saved_norms: DataFrame | None = None
+    terms: DataFrame | None = None
 
     @classmethod
     def build(cls, texts: DataFrame, key: list[str], text_col: str = "text") -> TfIdfIndex:
-        """The only action is the count of texts. Searches compute the postings anew; :meth:`save` keeps them."""
-        counts = term_counts(texts, key, text_col)
-        n = texts.count()
-        weighted = counts.join(document_counts(counts), "term").withColumn("w", (1 + F.ln("tf")) * idf(F.lit(n), F.col("df")))
-        return cls(key, weighted, n)
+        """Texts are cut into terms once; the terms' counts and the postings are tables in the shared folder, which searches read."""
+        counts = cut(term_counts(texts, key, text_col))
+        n, terms = texts.count(), cut(document_counts(counts))
+        weighted = counts.join(terms, "term").withColumn("w", (1 + F.ln("tf")) * idf(F.lit(n), F.col("df")))
+        return cls(key, cut(weighted), n, terms=terms)
 
     def save(self, path: str) -> TfIdfIndex:
         """Write postings, sorted by term in each file, and norms as Parquet; searches of the index returned read only these."""
@@ -73,7 +75,7 @@ class TfIdfIndex:
         rounded to 9 digits, so that order doesn't hang on the order of additions.
         """
         asked = term_counts(queries, [query_id], query_text).withColumnRenamed("tf", "qtf")
-        known = self.postings.select("term", "df").distinct()
+        known = self.terms if self.terms is not None else self.postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "df").distinct()
         asked = asked.join(known, "term").withColumn("qw", (1 + F.ln("qtf")) * idf(F.lit(self.n_docs), F.col("df"))).drop("df")
         lengths = asked.groupBy(query_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
         dots = asked.select(query_id, "term", "qw").join(self.postings, "term").groupBy(query_id, *self.key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))

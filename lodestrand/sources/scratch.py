@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the folder in ``spark.checkpoint.dir`` and read back: what is read often is computed once, and later plans stay short.
 
-    A session that names no folder gets a temporary one, for use on one machine.
+    A local session that names no folder gets a temporary one; on a cluster, whose machines share none, that raises.
     """
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +20,8 @@ def cut(df: DataFrame) -> DataFrame:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
         if not path:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
             spark.sparkContext.setCheckpointDir(path)
     path = f"{path.rstrip('/')}/lodestrand-cut-{uuid.uuid4().hex}"

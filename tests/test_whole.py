@@ -32,6 +32,19 @@ def test_queries_of_more_than_one_block(spark):
     assert len(got) == 3600 and got.groupby("query_id").vec_id.nunique().eq(3).all() and got.query_id.nunique() == 1200
 
 
+def test_repeated_and_null_ids_over_a_block_edge(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id bigint, embedding array<double>")
+    asked = spark.range(1500).selectExpr("if(id between 998 and 1001, 998, if(id = 5, null, id)) as query_id", "array(1d, id / 100) as query_vector")
+    assert retrieve.vector_scores(vectors, asked).count() == 4500
+
+
+def test_norms_take_time_in_proportion(spark):
+    plan = spark.range(1).selectExpr("array(3d, 4d) as v").select(retrieve.normalised(F.col("v")).alias("n"))
+    assert plan.first()["n"] == [0.6, 0.8]
+    # the norm, a sum over all elements, stands once, and not inside the lambda over the elements
+    assert plan._jdf.queryExecution().analyzed().toString().count("aggregate(") <= 2
+
+
 def test_every_member_of_a_group_is_returned(spark):
     rows = spark.createDataFrame([(i, "same") for i in range(9)] + [(9, "one"), (10, ""), (11, ""), (12, None), (13, None)], "id bigint, k string")
     got = audit.duplicate_members(rows, F.col("k"), "id").collect()
