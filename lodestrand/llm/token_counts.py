@@ -11,11 +11,12 @@ pre-tokens are encoded together.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,15 +130,11 @@ class CountTree:
         keep = max(0, bisect_right(stops, start - LOOKAHEAD) - 1)
         met = None
         while met is None:  # take leaves until the new split meets an old boundary behind the edit
-            while True:
-                closed = stops[-1] == self.length
-                if closed or stops[-1] >= end and met is None:
-                    break
-                leaf = self._more(touched, old, counts, stops)
+            while not (closed := stops[-1] == self.length) and stops[-1] < end:
+                self._more(touched, old, counts, stops)
             body, from_, shift = "".join(old[keep:]), stops[keep], len(new) - (end - start)
             text = body[: start - from_] + new + body[end - from_ :]
-            ends = {s + shift: i for i, s in enumerate(stops) if s >= end}
-            made, pos = [], from_
+            made, pos, least = [], from_, start + len(new)
             safe = from_ + len(text) - (0 if closed else LOOKAHEAD)
             for m in self.pattern.finditer(text):
                 stop = from_ + m.end()
@@ -145,8 +142,8 @@ class CountTree:
                     break
                 made.append(m.group())
                 pos = stop
-                if pos in ends and pos >= start + len(new):
-                    met = ends[pos]
+                if pos >= least and stops[at := bisect_left(stops, pos - shift)] == pos - shift:
+                    met = at
                     break
             if met is None:
                 if closed:
@@ -208,6 +205,17 @@ def count_batch(texts: list[str], edits: list[list[dict]], encoder: bpe.Encoder,
     return zip(before, trees)
 
 
+def _edits(column: pa.ListArray) -> Iterator[list[dict]]:
+    """Each row's edits without nulls, by whole columns of their parts."""
+    parts = column.flatten()
+    names = ("start", "stop", "text")
+    flat = [dict(zip(names, x)) if known else None for known, *x in zip(parts.is_valid().to_pylist(), *(parts.field(n).to_pylist() for n in names))]
+    at = 0
+    for n in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        yield [e for e in flat[at : at + n] if e is not None]
+        at += n
+
+
 def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """Per row: id, ``n_tokens`` (before), ``n_edits``, ``n_tokens_after``, ``encoded_chars``, ``text_sha256``.
 
@@ -226,11 +234,11 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches):
         from lodestrand.llm.bpe import batched, codec
-        from lodestrand.llm.token_counts import count_batch
+        from lodestrand.llm.token_counts import _edits, count_batch
 
         encoder, split = codec(ranks.value, pattern)[0], regex.compile(pattern)
         for batch in batches:
-            rows, asked = [], (([e for e in x.as_py() or [] if e is not None]) for x in batch.column(2))
+            rows, asked = [], _edits(batch.column(2))
             for texts in batched(x.as_py() or "" for x in batch.column(1)):
                 edits = [next(asked) for _ in texts]
                 for (before, tree), done in zip(count_batch(texts, edits, encoder, split), edits):
