@@ -99,8 +99,8 @@ class _Moves:
 class Transducer:
     """Bytes in, token ids out.
 
-    Many pieces are read side by side. States beyond ``max_states`` are forgotten between two calls:
-    those met first, which are the commonest, stay.
+    Many pieces are read side by side. Where there are more than ``max_states`` states between two calls, a
+    fifth of them and more is forgotten: those met first, which are the commonest, stay.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pairs: int = 120_000):
@@ -130,17 +130,18 @@ class Transducer:
         self._state((-1, (), b""))
 
     def _forget(self) -> None:
-        """Leaves ``max_states`` states at most, and none but the first after many forgotten ones, as texts may have changed."""
-        if (extra := len(self.states) - self.max_states) <= 0:
+        """Leaves four fifths of ``max_states`` states if there are more, and none but the first after many forgotten ones, as texts may have changed."""
+        if len(self.states) <= self.max_states:
             return
-        self.forgotten += extra
+        keep = max(1, self.max_states * 4 // 5)
+        self.forgotten += len(self.states) - keep
         if self.forgotten > 20 * self.max_states:
             self._clear()
             return
-        for state in self.states[self.max_states :]:
+        for state in self.states[keep:]:
             del self.index[state]
-        del self.states[self.max_states :]
-        self.moves = self.moves.below(self.max_states)
+        del self.states[keep:]
+        self.moves = self.moves.below(keep)
 
     def _state(self, state: tuple) -> int:
         if (at := self.index.get(state)) is None:
@@ -415,13 +416,13 @@ class Decoder:
 _CODECS: dict[tuple, tuple[Encoder, Decoder]] = {}
 
 
-def codec(rank_file: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+def codec(rank_file: bytes, pattern: str, max_pieces: int = 100_000) -> tuple[Encoder, Decoder]:
     """Encoder and decoder of a vocabulary, one per worker process."""
-    key = (hashlib.sha256(rank_file).digest(), pattern)
+    key = (hashlib.sha256(rank_file).digest(), pattern, max_pieces)
     if key not in _CODECS:
         _CODECS.clear()
         ranks = load_ranks(rank_file)
-        _CODECS[key] = Encoder(ranks, pattern), Decoder(ranks)
+        _CODECS[key] = Encoder(ranks, pattern, max_pieces), Decoder(ranks)
     return _CODECS[key]
 
 

@@ -27,6 +27,8 @@ from lodestrand.llm import bpe, store
 #: word follows, so the split at p is decided by the text before p + 2.
 LOOKAHEAD = 2
 LEAF = 64
+#: Pieces remembered by a worker: two generations of these, some 60 MB each.
+MAX_PIECES = 250_000
 
 
 class _Node:
@@ -234,9 +236,9 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches):
         from lodestrand.llm.bpe import batched, codec
-        from lodestrand.llm.token_counts import _edits, count_batch
+        from lodestrand.llm.token_counts import MAX_PIECES, _edits, count_batch
 
-        encoder, split = codec(ranks.value, pattern)[0], regex.compile(pattern)
+        encoder, split = codec(ranks.value, pattern, MAX_PIECES)[0], regex.compile(pattern)
         for batch in batches:
             rows, asked = [], _edits(batch.column(2))
             for texts in batched(x.as_py() or "" for x in batch.column(1)):
