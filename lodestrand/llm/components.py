@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import store
 
+#: Edges (some 40 MB) that one task may hold, all of one key; of more, joins are laid out so that Spark can split a hot key.
+SPLIT_EDGES = 1_000_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is tied to the least of the node and its neighbours."""
+
+def _large_star(edges: DataFrame, split: bool) -> DataFrame:
+    """Every neighbour above a node is tied to the least of the node and its neighbours; as many rows as edges, some may repeat."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(store.detached(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(store.detached(least, "u") if split else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, split: bool) -> DataFrame:
     """Every node and its lower neighbours are tied to the least of these."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    lower = edges.join(store.detached(least, "u"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lower = edges.join(store.detached(least, "u") if split else least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,7 +38,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> t
     for _ in range(most):
         if not mark[0]:
             break
-        after, next_path = store.settle(_small_star(_large_star(edges)), "edges")
+        split = mark[0] > SPLIT_EDGES
+        after, next_path = store.settle(_small_star(_large_star(edges, split), split), "edges")
         store.remove(spark, path)
         edges, path, before, mark = after, next_path, mark, _mark(after)
         if mark == before:

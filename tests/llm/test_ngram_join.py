@@ -99,7 +99,9 @@ def test_packing():
     assert len(ngram_join.unpack(ngram_join.pack(a[:0], a[:0]))[0]) == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("split_edges", [components.SPLIT_EDGES, 10])
+def test_components(spark, monkeypatch, split_edges):
+    monkeypatch.setattr(components, "SPLIT_EDGES", split_edges)
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2300)] + [(None, 4), (5, 5)]
     parent = {x: x for ab in links if ab[0] is not None for x in ab}
