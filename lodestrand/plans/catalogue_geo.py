@@ -126,20 +126,6 @@ def region_classification_dissolved(spark, sf):
     return graph.dissolve(found)
 
 
-@_c.add(f"""WITH {_EDGES}, t AS (SELECT DISTINCT c.n_name AS key, s.n_name AS code FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey WHERE c.n_name <> s.n_name AND o_orderkey % 97 = 0),
-p AS (SELECT t.key, code, e.a IS NOT NULL AS peri FROM t LEFT JOIN e ON e.a = least(key, code) AND e.b = greatest(key, code))
-SELECT key, (count(*) FILTER (peri))::INT AS n_peri, (count(*) FILTER (NOT peri))::INT AS n_tele, CASE WHEN count(*) FILTER (peri) > 0 AND length(key) % 2 = 1 THEN 'differs' ELSE 'consistent' END AS note FROM p GROUP BY 1""")
-def validation_note(spark, sf):
-    o, c, n, s = (table(spark, sf, t) for t in ("orders", "customer", "nation", "supplier"))
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    buyer, seller = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("key")), n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("code"))
-    rows = o.where("o_orderkey % 97 = 0").join(c, F.col("o_custkey") == F.col("c_custkey")).join(buyer, "c_nationkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(seller, "s_nationkey")
-    others = rows.select("key", "code").distinct()
-    focal = others.select("key").distinct().select("key", F.col("key").alias("focal"), (F.length("key") % 2 == 0).alias("says_peri"), F.lit(True).alias("says_tele"))
-    found = graph.validation(focal, others, _edges(spark, sf), "key")
-    return found.select("key", F.size("pericoupled").alias("n_peri"), F.size("telecoupled").alias("n_tele"), "note")
-
-
 # --- flows -------------------------------------------------------------------------------------------
 
 _TRADE = "t AS (SELECT s.n_name AS source, c.n_name AS target, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey GROUP BY ALL)"
@@ -157,8 +143,8 @@ def _trade(spark, sf):
 
 @_c.add(f"""WITH {_EDGES}, {_TRADE}, p AS (SELECT target AS key, e.a IS NOT NULL AS peri FROM t LEFT JOIN e ON e.a = least(source, target) AND e.b = greatest(source, target) WHERE source <> target)
 SELECT key, (count(*) FILTER (peri))::INT AS n_peri, (count(*) FILTER (NOT peri))::INT AS n_tele, CASE WHEN count(*) FILTER (peri) > 0 AND length(key) % 2 = 1 THEN 'differs' ELSE 'consistent' END AS note FROM p GROUP BY 1""")
-def validation_note_all_orders(spark, sf):
-    """As validation_note, with the nations that any order ties to a nation, not those of every 97th order alone."""
+def validation_note(spark, sf):
+    """A nation's others are all that any order ties to it."""
     others = _trade(spark, sf).select(F.col("target").alias("key"), F.col("source").alias("code"))
     focal = others.select("key").distinct().select("key", F.col("key").alias("focal"), (F.length("key") % 2 == 0).alias("says_peri"), F.lit(True).alias("says_tele"))
     found = graph.validation(focal, others, _edges(spark, sf), "key")

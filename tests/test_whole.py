@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_orders_tie_nations(spark):
     trade = {(r["source"], r["target"]) for r in catalogue.QUERIES["flow_slots"](spark, SF).collect()}
-    got = {r["key"]: r["n_peri"] + r["n_tele"] for r in catalogue.QUERIES["validation_note_all_orders"](spark, SF).collect()}
+    got = {r["key"]: r["n_peri"] + r["n_tele"] for r in catalogue.QUERIES["validation_note"](spark, SF).collect()}
     assert got == {k: sum(t == k != s for s, t in trade) for k in got} and set(got) == {t for s, t in trade if s != t}
 
 
