@@ -109,6 +109,16 @@ q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM tf WHERE doc_id % 20 = 0),
 s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
       FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), g GROUP BY ALL)
 SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10""",
+    "op6_rendezvous_shards": """
+WITH t AS (SELECT list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, coalesce(doc_id::VARCHAR, 'null') AS name FROM documents),
+n AS (SELECT doc_id, name, len(h) // 2 + 1 AS size,
+             flatten(list_transform(range(1, len(h), 2), lambda i: [instr('123456789ABCDEF', substr(h, i + 1, 1)), instr('123456789ABCDEF', substr(h, i, 1))])) AS nibbles FROM b),
+d AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_prepend(4294967295, nibbles), lambda c, x: xor(c >> 4, t[(xor(c, x) & 15) + 1])))::BIGINT AS text_crc32,
+             list_transform(range(9), lambda i: substr(md5(name || ':' || i), 1, 13)) AS draws FROM n, t),
+s AS (SELECT *, list_position(draws[1:8], list_max(draws[1:8])) - 1 AS shard, list_position(draws, list_max(draws)) - 1 AS grown FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot FROM s""",
     "op7_exact_dedup": f"""
 WITH n AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY norm)
