@@ -105,8 +105,8 @@ def resolve(texts: DataFrame, key: list[str], text_col: str, gazetteer: DataFram
 def country_scan(texts: DataFrame, key: list[str], text_col: str, gazetteer: DataFrame) -> DataFrame:
     """(key, code), distinct: of the whole text, of its parts between delimiters of three characters or more, and of these between and/or."""
     whole = texts.select(*key, F.col(text_col).alias("_t"))
-    chunks = F.split(text_col, r"[,;/()|→↔\n]+|->|<->|=>")
-    parts = F.concat(F.array(F.col(text_col)), chunks, F.flatten(F.transform(chunks, lambda c: F.split(c, r"(?i)\band\b|\bor\b"))))
+    chunks = F.split("_t", r"[,;/()|→↔\n]+|->|<->|=>")
+    parts = F.concat(F.array(F.col("_t")), chunks, F.flatten(F.transform(chunks, lambda c: F.split(c, r"(?i)\band\b|\bor\b"))))
     rows = whole.select(*key, F.posexplode(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= 3))).alias("_n", "_part"))
     return resolve(rows, [*key, "_n"], "_part", gazetteer).where("code is not null").select(*key, "code").distinct()
 
@@ -129,7 +129,7 @@ def resolve_regions(texts: DataFrame, key: list[str], name_col: str, regions: Da
     With ``iso_col`` only regions of that country count; without, or where it is null, a text that is a
     country's name is none, and a name that regions of several countries have is ambiguous. A term of
     the whole text comes before terms that contain it or stand in it (four characters or more); of
-    these the longest, then the smallest code.
+    these the longest, then the smallest code. Regions without an ``iso`` are never found.
     """
     iso = F.col(iso_col) if iso_col else F.lit(None).cast("string")
     rows = texts.select(*key, F.lower(F.trim(name_col)).alias("_t"), iso.alias("_iso")).where("_t <> ''")
@@ -145,3 +145,23 @@ def resolve_regions(texts: DataFrame, key: list[str], name_col: str, regions: Da
     national = resolve(rows, key, "_t", gazetteer).where("code is not null").select(*key)
     free = best.where("_free").join(national, key, "left_anti")
     return texts.select(*key).join(best.where("not _free").unionByName(free).select(*key, "region"), key, "left")
+
+
+# --- questions ---------------------------------------------------------------------------------
+
+
+def focus(texts: DataFrame, key: list[str], text_col: str, regions: DataFrame, gazetteer: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, place, country): what a question is about.
+
+    Of its phrases, longest first, the first that names a region gives the place and, by the region's
+    ``iso`` in ``names(code, name)``, the country; where none does, place is null and the first phrase
+    that names a country gives the country. Both are null without either, and for null and empty texts.
+    """
+    rows = texts.select(*key, F.posexplode(T.phrases(F.col(text_col))).alias("_n", "_p")).withColumn("_p", T.without_possessive(F.col("_p"))).where("_p <> ''")
+    first = lambda found, code: found.where(F.col(code).isNotNull()).groupBy(*key).agg(F.min_by(code, "_n").alias(code))
+    region, country = first(resolve_regions(rows, [*key, "_n"], "_p", regions, gazetteer), "region"), first(resolve(rows, [*key, "_n"], "_p", gazetteer), "code")
+    places = regions.select("region", F.col("name").alias("place"), F.col("iso").alias("_iso"))
+    out = texts.select(*key).join(region, key, "left").join(places, "region", "left").join(country, key, "left")
+    code = F.when(F.col("region").isNotNull(), F.col("_iso")).otherwise(F.col("code"))
+    called = names.select(F.col("code").alias("_code"), F.col("name").alias("country"))
+    return out.withColumn("_code", code).join(called, "_code", "left").select(*key, "place", "country")

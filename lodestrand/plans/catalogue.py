@@ -6,7 +6,7 @@ and its language the section; nations are countries, and adjacent when they shar
 
 from __future__ import annotations
 
-from lodestrand.plans import catalogue_geo, catalogue_links, catalogue_text
+from lodestrand.plans import catalogue_geo, catalogue_links, catalogue_records, catalogue_text
 
-QUERIES = {**catalogue_text.QUERIES, **catalogue_geo.QUERIES, **catalogue_links.QUERIES}
-ORACLE = {**catalogue_text.ORACLE, **catalogue_geo.ORACLE, **catalogue_links.ORACLE}
+QUERIES = {**catalogue_text.QUERIES, **catalogue_geo.QUERIES, **catalogue_links.QUERIES, **catalogue_records.QUERIES}
+ORACLE = {**catalogue_text.ORACLE, **catalogue_geo.ORACLE, **catalogue_links.ORACLE, **catalogue_records.ORACLE}

@@ -150,3 +150,16 @@ def abstract_block(text: Column) -> Column:
     stop = r"(?=\n\s*(?:#{1,6}\s|\*{0,2}key\s?words?\b|\*{0,2}introduction\b|1\.?\s+introduction)|\z)"
     forms = (r"(?im)^#{1,6}\s*abstract\s*:?\s*\n+", r"(?im)^\*\*\s*abstract\s*:?\s*\*\*\s*:?\s*", r"(?im)^abstract\s*[:.—-]\s*", r"(?im)^a\s+b\s+s\s+t\s+r\s+a\s+c\s+t\s*\n+", r"(?im)^#{1,6}\s*summary\s*:?\s*\n+", r"(?im)^abstract\s*\n+")
     return F.coalesce(*[F.nullif(T.squeeze(F.regexp_extract(t, rf"(?s){f}(.+?){stop}", 1)), F.lit("")) for f in forms])
+
+
+def corpus_source(folder: str | None = None, corpus: str | None = None, shipped: dict[str, str] | None = None) -> str | None:
+    """Where the papers are: a folder, or the path of a shipped corpus by its name (case and ``-`` for ``_`` don't matter); None for neither, an error for both."""
+    if folder is not None and corpus is not None:
+        raise ValueError("give a folder or the name of a shipped corpus, not both")
+    if corpus is None:
+        return folder
+    shipped = shipped or {}
+    name = corpus.strip().lower().replace("-", "_")
+    if name not in shipped:
+        raise ValueError(f"no shipped corpus named {corpus!r}; there are {sorted(shipped)}")
+    return shipped[name]

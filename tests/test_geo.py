@@ -141,3 +141,20 @@ def test_every_alias_and_names_without_latin_letters(spark):
     places = gazetteer.terms(spark.createDataFrame([("JPN", "日本"), ("EGY", "مصر"), ("CIV", "Côte d'Ivoire")], "code string, name string"))
     rows = spark.createDataFrame([(1, "東京は日本の首都"), (2, "قمح مصر"), (3, "cocoa (côte d'ivoire)"), (4, "日 本"), (5, "日本")], "id int, t string")
     assert {r["id"]: r["code"] for r in gazetteer.resolve(rows, ["id"], "t", places).collect()} == {1: "JPN", 2: "EGY", 3: "CIV", 4: None, 5: "JPN"}
+
+
+def test_focus_of_questions(spark):
+    names = spark.createDataFrame([("AAA", "Northland"), ("BBB", "South Isle")], "code string, name string")
+    regions = spark.createDataFrame([("A-1", "Millport", "AAA"), ("A-2", "Twinford", "AAA"), ("B-2", "Twinford", "BBB"), ("C-1", "Lonely Bay", "CCC"), ("D-1", "Nowhere Bay", None)], "region string, name string, iso string")
+    asked = [(0, "Wheat of Millport's farms and South Isle"), (1, "What does South Isle’s trade need?"), (2, None), (3, ""), (4, "Fish of Twinford"), (5, "Lonely Bay fish"), (6, "Nowhere Bay fish")]
+    got = gazetteer.focus(spark.createDataFrame(asked, "id int, t string"), ["id"], "t", regions, gazetteer.terms(names), names)
+    want = {0: ("Millport", "Northland"), 1: (None, "South Isle"), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("Lonely Bay", None), 6: (None, None)}
+    assert {r["id"]: (r["place"], r["country"]) for r in got.collect()} == want
+    none = spark.createDataFrame([], "id int, t string")
+    assert gazetteer.focus(none, ["id"], "t", regions, gazetteer.terms(names), names).count() == 0
+
+
+def test_country_scan_reads_the_column_it_is_given(spark):
+    names = spark.createDataFrame([("AAA", "Northland"), ("BBB", "South Isle")], "code string, name string")
+    rows = spark.createDataFrame([(0, "Northland -> South Isle"), (1, None), (2, "nowhere")], "id int, said string")
+    assert sorted(gazetteer.country_scan(rows, ["id"], "said", gazetteer.terms(names)).collect()) == [(0, "AAA"), (0, "BBB")]

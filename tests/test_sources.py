@@ -136,3 +136,13 @@ def test_saved_index_scores_alike(spark, tmp_path):
     rows = lambda index: sorted(map(tuple, index.scores(asked).collect()))
     assert rows(made) == rows(made.save(str(tmp_path / "i"))) and {r[1] for r in rows(made)} == {1, 2}
     assert made.statistics().first()["texts"] == 2
+
+
+def test_corpus_source():
+    shipped = {"articles_2025": "/data/articles"}
+    assert tables.corpus_source() is None
+    assert tables.corpus_source("/papers") == "/papers"
+    assert tables.corpus_source(corpus=" Articles-2025 ", shipped=shipped) == "/data/articles"
+    for wrong in ({"folder": "/papers", "corpus": "articles_2025"}, {"corpus": "others"}):
+        with pytest.raises(ValueError):
+            tables.corpus_source(**wrong, shipped=shipped)
