@@ -1,3 +1,7 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +21,48 @@ def test_held_out_accuracy(spark):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
+def brute_languages(rows):
+    """{doc_id: (language, cosine, evidence)} of (doc_id, text, lang), one trigram after the other."""
+    letters, vectors = {}, {}
+
+    def letter(c):
+        if c not in letters:
+            letters[c] = np.random.default_rng([language_id.SEED, ord(c)]).integers(0, 2, language_id.DIM, dtype=np.int8).astype(int) * 2 - 1
+        return letters[c]
+
+    def bundle(text):
+        plain = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        plain = re.sub(" +", " ", f" {plain} ") if plain.strip() else ""
+        grams = Counter(plain[i : i + 3] for i in range(len(plain) - 2))
+        total = np.zeros(language_id.DIM)
+        for g, n in grams.items():
+            if g not in vectors:
+                vectors[g] = np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
+            total += n * vectors[g]
+        return total, sum(grams.values()) ** 2 / sum(n * n for n in grams.values()) if grams else 0.0
+
+    made, prototypes = {i: bundle(t) for i, t, _ in rows}, {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            prototypes[lang] = prototypes.get(lang, 0) + made[i][0]
+    out = {}
+    for i, (v, told) in made.items():
+        cosines = sorted((-float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)), lang) for lang, p in prototypes.items() if np.any(p)) if np.any(v) else []
+        out[i] = (cosines[0][1], max(0.0, -cosines[0][0]), told) if cosines else ("und", 0.0, told)
+    return out
+
+
+def test_language_query_against_brute_force(spark):
+    small = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.table(spark, small, "documents").select("doc_id", "text", "lang").collect()]
+    want, got = brute_languages(rows), queries.op9_language_id(spark, small).collect()
+    assert len(got) == len(rows) == len(want)
+    for r in got:
+        lang, score, _ = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-9
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_vectors_are_bound_and_bundled():
     made = language_id.Profiles(256, 1)
     codes, counts = made.grams("ab ab")

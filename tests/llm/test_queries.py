@@ -6,7 +6,7 @@ from oracle import assert_same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrand.llm import language_id, queries
+from lodestrand.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,13 +42,19 @@ def test_bpe_query_against_tiktoken(spark):
 
 
 def test_pipeline_against_brute_force(spark):
-    """Every stage done again in plain Python on the rows before it."""
+    """Every stage done again in plain Python on the rows before it, tokens included."""
+    import public_tokenizers as P
+    import tiktoken
     from test_exact_and_mix import inverse, lower, uniform
+    from test_models import brute_languages
     from test_ngram_join import brute
 
-    docs = queries.table(spark, SF, "documents")
-    rows = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
-    kept = {i: r for i, r in rows.items() if r["language"]["lang_pred"] != "und" and r["language"]["score"] >= corpus_pipeline.LEAST_SCORE}
+    from lodestrand.llm.bpe import load_ranks
+
+    rows = {r["doc_id"]: r for r in queries.table(spark, SF, "documents").collect()}
+    found = brute_languages([(i, r["text"], r["lang"]) for i, r in rows.items()])
+    least = lambda told: max(corpus_pipeline.LEAST_SCORE, min(corpus_pipeline.ENOUGH, corpus_pipeline.RISE * told**0.5))
+    kept = {i: rows[i] for i, (lang, score, told) in found.items() if lang != "und" and score >= least(told)}
     assert len(kept) > 0.97 * len(rows)
     first = {}
     for i in sorted(kept):
@@ -59,8 +65,13 @@ def test_pipeline_against_brute_force(spark):
     n = Counter(r["source"] for r in kept.values())
     total = sum(x**0.5 for x in n.values())
     want = Counter({i: inverse(uniform(42, i), n[r["source"]] ** 0.5 * (len(kept) / total) / n[r["source"]]) for i, r in kept.items()})
-    got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect())
-    assert got == +want
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r["doc_id"] for r in out) == +want
+    with open(P.path(queries.RANKS), "rb") as f:
+        reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(f.read()), special_tokens={})
+    for r in out:
+        ids = reference.encode_ordinary(rows[r["doc_id"]]["text"])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
 
 
 def test_stages_keep_the_columns(spark):
