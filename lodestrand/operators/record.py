@@ -278,6 +278,33 @@ def fragments(items: DataFrame, key: str = "doc_id") -> DataFrame:
     return items.select(key, F.col("value").alias("text"))
 
 
+def retrieval_query(items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, query): what a record asks of a corpus, joined by blanks.
+
+    The classification; of sending, receiving and spillover systems the name, geographic scope and
+    description; of flows the description and category; causes and effects, by category in the order
+    of the alphabet. Couplings in that order too. A record with none of these has no row.
+    """
+    at = lambda g, a, b, c: F.struct(F.lit(g).alias("g"), F.coalesce("coupling", F.lit("")).alias("k"), a.alias("a"), b.alias("b"), c.alias("c"))
+    blank, zero, ordinal = F.lit(""), F.lit(0), F.col("ord").cast("int")
+    place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), c).cast("int")
+    long = items.select(key, "coupling", "kind", "ord", "field", "value").where("value <> ''")
+    parts = [long.where("kind = 'classification'").select(key, at(0, blank, zero, zero).alias("at"), "value")]
+    fields, roles = ("name", "geographic_scope", "description"), ("sending", "receiving", "spillover")
+    systems_ = system_entries(items, key).where(F.col("role").isin(*roles))
+    systems_ = systems_.select(key, "coupling", "ord", "role", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x")).where("x.value <> ''")
+    parts.append(systems_.select(key, at(1, place(roles, F.col("role")).cast("string"), ordinal, place(fields, F.col("x.field"))).alias("at"), F.col("x.value").alias("value")))
+    shown = ("description", "category")
+    parts.append(long.where(F.col("kind") == "flows").where(F.col("field").isin(*shown)).select(key, at(2, blank, ordinal, place(shown, F.col("field"))).alias("at"), "value"))
+    for n, kind in ((3, "causes"), (4, "effects")):
+        parts.append(long.where(F.col("kind") == kind).select(key, at(n, F.coalesce("field", blank), ordinal, zero).alias("at"), "value"))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
+    return whole.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["value"]), " ").alias("query"))
+
+
 def record_terms(items: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, term): distinct search terms of a record's values, its coupling types and category labels."""
     from lodestrand.functions.text import search_terms

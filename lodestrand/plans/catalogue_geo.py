@@ -248,6 +248,11 @@ def record_summary(spark, sf):
     return record.summary(record.parse(_replies(spark, sf)))
 
 
+@_c.add(_rows("'Mostly distant. ' || n_name || ' soils of ' || n_name || ' ' || r_name || ' grain matter money moves ' || r_name || ' → ' || n_name || ' capital prices demand drought land use' AS query"))
+def record_query(spark, sf):
+    return record.retrieval_query(record.parse(_replies(spark, sf)))
+
+
 @_c.add("""SELECT n_nationkey::BIGINT AS doc_id, n_name AS focal, CASE WHEN n_nationkey % 4 <> 1 THEN r_name END AS receiving, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS flows
 FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def json_signals_validate(spark, sf):

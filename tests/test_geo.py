@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrand.operators import flows, gazetteer, graph, merge, record, signals
 
@@ -158,3 +159,15 @@ def test_country_scan_reads_the_column_it_is_given(spark):
     names = spark.createDataFrame([("AAA", "Northland"), ("BBB", "South Isle")], "code string, name string")
     rows = spark.createDataFrame([(0, "Northland -> South Isle"), (1, None), (2, "nowhere")], "id int, said string")
     assert sorted(gazetteer.country_scan(rows, ["id"], "said", gazetteer.terms(names)).collect()) == [(0, "AAA"), (0, "BBB")]
+
+
+def test_retrieval_for_records(spark):
+    from lodestrand.operators import retrieve
+
+    reply = "# 1. Coupling Classification\nMostly distant.\n\n## 4. Telecoupling Analysis\n### 4.1 Systems Identification\n**Sending System**: {0}\n\n### 4.2 Flows Analysis\n- [Matter] a -> b: {1}\n"
+    replies = spark.createDataFrame([(1, reply.format("orchards", "apples")), (2, reply.format("harbours", "herring")), (3, ""), (4, None)], "doc_id int, text string")
+    texts = [(1, "p", "Orchards grow apples and pears"), (2, "p", "Harbours land herring"), (3, "q", "Kilns bake bricks"), (4, "q", "Apples travel from orchards"), (5, "q", None)]
+    passages = spark.createDataFrame(texts, "chunk int, paper string, text string").withColumn("section", F.lit("s"))
+    found = retrieve.retrieve_for_records(passages, record.parse(replies), ["chunk"], "paper", "section", k=5).collect()
+    assert {(r["query_id"], r["chunk"]) for r in found} == {(1, 1), (1, 4), (2, 2)}
+    assert record.retrieval_query(record.parse(replies.limit(0))).count() == 0
