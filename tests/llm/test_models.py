@@ -132,6 +132,30 @@ def test_hosts_paths_and_rules(spark):
         assert (r["rule"], r["verdict"]) == (found if found else (None, "allow"))
 
 
+def test_url_query_against_brute_force(spark):
+    """Host, path and rule of every page in plain Python; verdicts of rules hold, the trees' ones follow the labels they learned."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    urls = {r["page_id"]: r["url"] for r in queries.table(spark, SF, "pages").collect()}
+    got = queries.op1_url_filter(spark, SF).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(urls)
+    free = right = 0
+    for r in got:
+        rest = (urls[r["page_id"]] or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest).group()
+        path = re.match("[^?#]*", rest[len(host) :]).group()
+        host = host.translate(lower)
+        fits = [(len(h + p), h + p, v) for h, p, v in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        if rule:
+            assert r["verdict"] == verdict
+        else:
+            assert r["verdict"] in ("allow", "block")
+            free += 1
+            right += (r["verdict"] == "block") == any(w in host for w in queries.SEED_WORDS)
+    assert free > 0 and right / free > 0.95
+
+
 def test_trees_learn_from_labels_and_reach_new_hosts(spark):
     pages = queries.table(spark, "/root/testdata/sf0.1", "pages")
     host = url_filter.host_of(F.col("url"))
