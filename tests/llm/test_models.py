@@ -246,3 +246,40 @@ def test_search_of_nothing(spark):
     some = spark.createDataFrame([(1, "a")], "item_id bigint, text string")
     assert search.top_k(none, some).count() == 0
     assert search.top_k(spark.createDataFrame([(1, "b")], "doc_id bigint, text string"), some.limit(0)).count() == 0
+
+
+def test_shards_are_searched_where_they_lie(spark):
+    """A row of the index is a whole shard, of bounded words and documents; no posting is shuffled; many queries at once find what each finds alone."""
+    import math
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    docs = [(i if i % 50 else None, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.choice([0, 3, 40])))) for i in range(900)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    index, _ = search.build_index(d, shard_words=3000)
+    rows = index.collect()
+    assert len(rows) > 2 and sum(r["n"] for r in rows) == 900 and sum(r["total"] for r in rows) == sum(len(t.split()) for _, t in docs)
+    assert max(r["total"] for r in rows) <= 3040 and all(None not in (r["terms"], r["lengths"], r["packed"]) for r in rows)
+    plan = index.select(*search.SEARCHED).mapInArrow(search._searcher(search.Queries([([1], [("w1", 1.0)])]), 14.0, 3, ["a", "b", "score"]), "a bigint, b bigint, score double")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 3
+
+    builder = search.ShardBuilder()
+    builder.add([i for i, _ in docs], pa.array([t.split() for _, t in docs], pa.list_(pa.string())))
+    (_, _, _, ids, lengths), *parts = builder.rows()
+    shard = search.Shard(ids, lengths, [dict(zip(("terms", "dfs", "blocks", "packed"), (t.to_pylist(), f.tolist(), b.tolist(), p))) for t, f, b, _, p in parts])
+    asked = [([q], [(t, 1 / (1 + math.log(1 + len(t)))) for t in sorted(set(docs[q][1].split()))] or [("none", 1.0)]) for q in range(0, 900, 7)]
+    best = search.Best(len(asked), 5)
+    shard.search_all(search.Queries(asked), 14.0, best)
+    for q, (_, terms) in enumerate(asked):
+        mine = [(s, None if null else i) for s, i, null in zip(best.score[best.query == q], best.ident[best.query == q], best.null[best.query == q])]
+        assert mine == shard.search(terms, 14.0, 5), q
+
+
+def test_a_shard_of_empty_documents_closes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "SHARD_DOCS", 64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([[]] * 200, pa.list_(pa.string()))], ["doc_id", "words"])
+    assert [b.column(0)[0].as_py() for b in search._builder(10**6)(iter([batch]))] == [64, 64, 64, 8]
