@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestrand.operators import audit, retrieve
+from lodestrand.operators import audit, linkage, retrieve
 from lodestrand.plans import catalogue
 from lodestrand.plans.common import table
 
@@ -70,3 +70,41 @@ def test_few_scores_leave_the_tasks(spark):
     made = vectors.selectExpr("vec_id", "paper", "section", "embedding as v").where("size(v) = 6 and not exists(v, x -> x is null)").coalesce(1)
     find = retrieve._diverse_searcher(list(range(30)), list(map(np.array, base[:30])), 9, 3, -2.0, ["q", "vec_id", "paper", "section", "score"])
     assert made.mapInArrow(find, "q bigint, vec_id bigint, paper string, section int, score double").count() == 30 * 9
+
+
+def test_files_meet_only_papers_that_may_match(spark, monkeypatch):
+    """Pairs that share an author alone are not scored, nor is a file that its own title settles; the best paper is that of all pairs."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 5])))
+    data = [(i, title(), rng.choice(["ann", "bob cid", "ann bob cid dan eve", "zoe", None, ""]), 2000 + rng.randrange(4)) for i in range(300)]
+    papers = spark.createDataFrame([*data, (300, None, "ann", 2000), (301, "", "ann", 2000), (302, "w1", "ann", None)], "key bigint, title string, authors string, year int")
+    names = [f"{rng.choice(['ann', 'bob', 'ann bob', 'zed'])} - {2000 + rng.randrange(5)} - {t}.md" for t in [title() for _ in range(80)] + ["v1 v2", "w3 v4 v5"]]
+    files = spark.createDataFrame([(n,) for n in [*names, names[0], "notes.md", "ann - 2001 - !.md"]], "file_name string")
+
+    def brute(name, least):
+        authors, year, text = name[:-3].split(" - ")
+        ft, fa, found = set(text.split()), set(authors.split()), []
+        for key, t, a, y in data:
+            if a is not None and abs(y - int(year)) <= 1 and (ft & set(t.split()) or fa & set(a.split())):
+                score = round(len(ft & set(t.split())) / len(ft | set(t.split())) + min(0.2, 0.05 * len(fa & set(a.split()))), 9)
+                found += [(-score, key)] * (score >= least)
+        return min(found, default=(None, None))
+
+    for least in (0.1, 0.3, 0.9):
+        got = linkage.match_files(files, papers, least=least).collect()
+        assert len(got) == 85
+        for r in got:
+            if r["file_name"] in names:
+                score, key = brute(r["file_name"], least)
+                assert (r["key"], r["score"]) == (key, None if score is None else -score), (r, least)
+
+    def strict(a, b, whole=linkage.jaccard):
+        return F.when((a == b) | ~F.arrays_overlap(a, b), F.raise_error(F.lit("a pair that needs no score")).cast("double")).otherwise(whole(a, b))
+
+    monkeypatch.setattr(linkage, "jaccard", strict)
+    ours = spark.range(400).selectExpr("id as key", "concat('t', id % 40, ' u', id % 40, ' all') as title", "'ann' as authors", "2001 as year")
+    asked = ours.where("key % 20 = 0").selectExpr("concat('ann - 2001 - ', title, '.md') as file_name").union(spark.sql("select 'ann - 2001 - t7 x y.md'"))
+    assert {r["file_name"]: r["key"] for r in linkage.match_files(asked, ours).collect()} == {"ann - 2001 - t0 u0 all.md": 0, "ann - 2001 - t20 u20 all.md": 20, "ann - 2001 - t7 x y.md": None}
