@@ -119,6 +119,34 @@ def test_components(spark, monkeypatch, split_edges):
     assert {r["node"]: r["root"] for r in found.collect()} == {x: find(x) for x in parent if find(x) != x}
 
 
+def test_components_of_few_edges_need_two_tables(spark, monkeypatch):
+    """Not a round for each doubling of a chain: what a task can hold is joined in one."""
+    written, settle = [], components.store.settle
+    monkeypatch.setattr(components.store, "settle", lambda df, name: written.append(name) or settle(df, name))
+    chain = spark.range(3000).repartition(7).selectExpr("concat('n', lpad(id, 5, '0')) AS a", "concat('n', lpad(id + 1, 5, '0')) AS b")
+    for kind in ("string", "binary"):
+        written.clear()
+        found = components.connected(chain.selectExpr(f"cast(a AS {kind}) AS a", f"cast(b AS {kind}) AS b"))[0].selectExpr("cast(node AS string) AS node", "cast(root AS string) AS root").collect()
+        assert sorted(r["node"] for r in found) == [f"n{i:05d}" for i in range(1, 3001)] and {r["root"] for r in found} == {"n00000"}
+        assert len(written) == 2
+
+
+@pytest.mark.parametrize("split_edges", [components.SPLIT_EDGES, 10])
+def test_forest_of_a_task(monkeypatch, split_edges):
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "SPLIT_EDGES", split_edges)
+    rng = random.Random(7)
+    links = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 540)] + [(600 + i, 699 - i) for i in range(50)]
+    links = [ab if rng.random() < 0.5 else ab[::-1] for ab in links]
+    rng.shuffle(links)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links[i : i + 9])], ["u", "v"]) for i in range(0, len(links), 9)]
+    (got,) = components._forest(batches)
+    want = {i: 0 for i in range(1, 101)} | {i: 500 for i in range(501, 540)} | {i: 1299 - i for i in range(650, 700)}
+    assert dict(zip(*(c.to_pylist() for c in got.columns))) == want
+    assert not list(components._forest([]))
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(5, text), (2, text + " x"), (9, "other words"), (None, text), (4, None)], "doc_id bigint, text string")
