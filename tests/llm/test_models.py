@@ -277,6 +277,22 @@ def test_shards_are_searched_where_they_lie(spark):
         assert mine == shard.search(terms, 14.0, 5), q
 
 
+def test_lexicon_is_bytes(spark):
+    """A search reads no column whose terms the JVM would take one by one; what is packed comes back."""
+    import numpy as np
+    import pyarrow as pa
+
+    index, _ = search.build_index(spark.createDataFrame([(1, "b a a ü漢 "), (2, "a")], "doc_id bigint, text string").coalesce(1))
+    kinds = dict(index.select(*search.SEARCHED).dtypes)
+    assert {kinds[c] for c in kinds if c != "ids"} == {"binary"}
+    terms, dfs, blocks = search.unpack_lexicon(pa.py_buffer(bytes(index.first()["lexicon"])))
+    assert (terms.to_pylist(), dfs.tolist(), blocks.tolist()) == (["a", "b", "ü漢"], [2, 1, 1], [1, 1, 1])
+    for names in ([], ["x"], ["", "ß", "zz"]):
+        numbers = np.arange(len(names))
+        terms, dfs, blocks = search.unpack_lexicon(pa.py_buffer(search.pack_lexicon(pa.array(names, pa.string()), numbers, numbers + 1)))
+        assert (terms.to_pylist(), dfs.tolist(), blocks.tolist()) == (names, numbers.tolist(), (numbers + 1).tolist())
+
+
 def test_a_shard_of_empty_documents_closes(monkeypatch):
     import pyarrow as pa
 
