@@ -413,7 +413,7 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
-_CODECS: dict[tuple, tuple[Encoder, Decoder]] = {}
+_CODECS: dict[tuple, tuple[Encoder, Decoder]] = store.held("bpe")
 
 
 def codec(rank_file: bytes, pattern: str, max_pieces: int = 100_000) -> tuple[Encoder, Decoder]:
@@ -471,4 +471,4 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(cols[: 4 + with_ids], kinds))]
             yield pa.RecordBatch.from_arrays(arrays, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "exact", "ids"][: len(arrays)])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(store.light(run, "bpe"), schema)

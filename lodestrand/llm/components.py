@@ -83,9 +83,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> t
     hi, lo = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi, lo)
     plain = all(isinstance(f.dataType, _PLAIN) for f in edges.schema)
-    edges, path = store.settle(edges.mapInArrow(_forest, edges.schema) if plain else edges.distinct(), "edges")
+    edges, path = store.settle(edges.mapInArrow(store.light(_forest), edges.schema) if plain else edges.distinct(), "edges")
     if plain and edges.count() <= SPLIT_EDGES:
-        whole, whole_path = store.settle(edges.coalesce(1).mapInArrow(_forest, edges.schema), "edges")
+        whole, whole_path = store.settle(edges.coalesce(1).mapInArrow(store.light(_forest), edges.schema), "edges")
         store.remove(spark, path)
         return whole.select(F.col("u").alias("node"), F.col("v").alias("root")), whole_path
     mark = _mark(edges)

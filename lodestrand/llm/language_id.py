@@ -102,7 +102,7 @@ class Profiles:
         return out
 
 
-_PROFILES: dict[tuple[int, int], Profiles] = {}
+_PROFILES: dict[tuple[int, int], Profiles] = store.held("language_id")
 
 
 def profiles(dim: int, seed: int) -> Profiles:
@@ -158,7 +158,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(vector.astype(np.float64))], ["lang", "i", "v"])
 
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    parts = rows.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    parts = rows.mapInArrow(store.light(run, "language_id"), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     vectors: dict[str, np.ndarray] = {}
     for lang, i, v in parts.limit(MAX_LANGUAGES * dim + 1).collect():
         vectors.setdefault(lang, np.zeros(dim))[i] = v
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     placed = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in placed.schema], T.StructField(f"c{len(docs.columns)}", T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())]))])
     texts = placed.select("*", F.col(f"c{docs.columns.index(text_col)}").cast("string").alias("text"))
-    return texts.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([*docs.columns, "language"])])
+    return texts.mapInArrow(store.light(run, "language_id"), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([*docs.columns, "language"])])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -188,6 +188,21 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_SENT_TYPES)], _NAMES)
 
 
+def _trimmed(answer):
+    """``answer``, a function for applyInArrow, after which a worker keeps no freed memory."""
+
+    def run(table: pa.Table) -> pa.Table:
+        from lodestrand.llm.store import trim
+
+        out, large = answer(table), table.nbytes > 1 << 18
+        del table
+        if large:
+            trim()
+        return out
+
+    return run
+
+
 _SETS = "digest binary, n int, ids array<bigint>, singles int, prefix binary, members binary"
 
 
@@ -261,7 +276,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
     side = lambda x: nodes.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"members_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "members_a", "n_b", "members_b")
-    return joined.mapInArrow(_verifier(percent), "a binary, b binary")
+    return joined.mapInArrow(store.light(_verifier(percent)), "a binary, b binary")
 
 
 def _block_verifier(percent: int):
@@ -331,7 +346,7 @@ def _last_links(live: DataFrame, nodes: DataFrame, forest: DataFrame, tested: Da
     dense = reach.where("dense").select("digest", "root")
     members = _with_root(nodes.select("digest"), forest).join(store.detached(dense.select("root").distinct(), "root"), "root", "left_semi")
     blocks = _packed(dense, nodes, "ours").join(_packed(members, nodes, "theirs"), "root").select("ours", "theirs")
-    links, path = store.settle(blocks.mapInArrow(_block_verifier(percent), "a binary, b binary"), "ngram-links")
+    links, path = store.settle(blocks.mapInArrow(store.light(_block_verifier(percent)), "a binary, b binary"), "ngram-links")
     paths.append(path)
 
     sketch = live.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SKETCH).alias("sketch"))
@@ -370,12 +385,12 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     store.ship(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = rows.mapInArrow(_sender(words, _range_keys(spark, store.shuffle_parts(spark)), block), _SENT)
-    answered = sent.groupBy("part").applyInArrow(_answer, _SENT)
-    sets, sets_path = store.settle(answered.groupBy("block").applyInArrow(_assembler(percent), _SETS), "ngram-sets")
+    sent = rows.mapInArrow(store.light(_sender(words, _range_keys(spark, store.shuffle_parts(spark)), block)), _SENT)
+    answered = sent.groupBy("part").applyInArrow(_trimmed(_answer), _SENT)
+    sets, sets_path = store.settle(answered.groupBy("block").applyInArrow(_trimmed(_assembler(percent)), _SETS), "ngram-sets")
     first = [F.first(c).alias(c) for c in ("n", "singles", "prefix", "members")]
     nodes, nodes_path = store.settle(sets.where("prefix is not null").select("digest", "n", "singles", "prefix", "members").groupBy("digest").agg(*first), "ngram-nodes")
-    entries = nodes.select("digest", "n", "singles", "prefix").mapInArrow(_entries, "h bigint, digest binary, n int, singles int, at int")
+    entries = nodes.select("digest", "n", "singles", "prefix").mapInArrow(store.light(_entries), "h bigint, digest binary, n int, singles int, at int")
     paths, columns = [sets_path, nodes_path], entries.columns
 
     forest, tested, tied, n_nodes = None, None, 0, nodes.count()

@@ -3,10 +3,12 @@
 import random
 from decimal import Decimal, localcontext
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrand.llm import mixing, queries, url_filter
+from lodestrand.llm import mixing, queries, store, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +71,38 @@ def test_suffixes_are_counted_over_all_labelled_urls(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_SUFFIXES", 0)
     salted = url_filter.train(df, max_rows=400)
     assert not salted.small and sorted(map(str, url_filter.judge(df, salted).collect())) == want
+
+
+def test_workers_hold_one_operators_tables(spark):
+    """Workers are pooled: one that encodes holds no language's tables any more, and the reverse."""
+
+    def probe(batches):
+        from lodestrand.llm import bpe, language_id
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(language_id._PROFILES)]), pa.array([len(bpe._CODECS)])], ["profiles", "codecs"])
+
+    docs = queries.table(spark, SF, "documents").repartition(16)
+    stages = dict(corpus_pipeline.STAGES)
+    for last in ("byte-level BPE", "language ID"):
+        for name in ("language ID", "byte-level BPE", last):
+            stages[name](spark, docs, SF).write.format("noop").mode("overwrite").save()
+        held = [tuple(r) for r in spark.range(0, 16, 1, 16).mapInArrow(probe, "profiles bigint, codecs bigint").collect()]
+        assert any(map(sum, held)) and not any(p and c for p, c in held)
+
+
+def test_freed_memory_goes_back_at_the_end_of_a_task():
+    used = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    kept = []
+
+    def run(batches):
+        large = []
+        for _ in batches:
+            large.append(np.ones(12_000))  # not so large that it is mapped by itself
+            kept.append(bytes(2000))
+        yield used()
+
+    before = used()
+    (at_most,) = store.light(run)(range(2000))
+    assert at_most - before > 150e6
+    assert used() - before < 60e6
