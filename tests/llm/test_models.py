@@ -299,3 +299,15 @@ def test_a_shard_of_empty_documents_closes(monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 64)
     batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([[]] * 200, pa.list_(pa.string()))], ["doc_id", "words"])
     assert [b.column(0)[0].as_py() for b in search._builder(10**6)(iter([batch]))] == [64, 64, 64, 8]
+
+
+def test_postings_go_compressed(spark):
+    """What the JVM holds of a shard's postings is far smaller than they are, and they come back."""
+    import pyarrow as pa
+
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.hash(F.col("id"), F.lit(i)), F.lit(500))) for i in range(40)])
+    index, _ = search.build_index(spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")))
+    for row in index.collect():
+        held = search.inflate(pa.py_buffer(bytes(row["packed"])))
+        numbers = 2 * sum(row["dfs"]) + 4 * int(search.unpack_lexicon(pa.py_buffer(bytes(row["lexicon"])))[2].sum())
+        assert len(held) == 4 * numbers and len(row["packed"]) < 0.4 * len(held)
