@@ -311,3 +311,46 @@ def test_postings_go_compressed(spark):
         held = search.inflate(pa.py_buffer(bytes(row["packed"])))
         numbers = 2 * sum(row["dfs"]) + 4 * int(search.unpack_lexicon(pa.py_buffer(bytes(row["lexicon"])))[2].sum())
         assert len(held) == 4 * numbers and len(row["packed"]) < 0.4 * len(held)
+
+
+def test_alike_documents_lie_side_by_side(monkeypatch):
+    """Documents of two languages that come in turn are parted, so that queries skip the other's blocks; small arrays, ties and matrices give what each query finds alone."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    docs = [[f"{'ab'[i % 2]}{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.choice([20, 60, 200]))] for i in range(1280)]
+    docs[100:130] = [["a1", "a2", "a2"]] * 30
+    builder = search.ShardBuilder()
+    builder.add(list(range(1280)), pa.array(docs))
+    (_, _, _, ids, lengths), *parts = builder.rows()
+    assert sorted(ids) == list(range(1280))
+    assert sum(docs[a][0][0] != docs[b][0][0] for a, b in zip(ids, ids[1:])) < 16
+    asked = [([q], [(t, float(docs[q].count(t)) / len(t)) for t in sorted(set(docs[q]))]) for q in [*range(0, 1280, 20), *range(100, 105)]]
+    for cells, dense in ((1 << 20, 300), (1 << 14, 20)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "DENSE", dense)
+        shard = search.Shard(ids, lengths, [dict(zip(("terms", "dfs", "blocks", "packed"), (t.to_pylist(), f.tolist(), b.tolist(), p))) for t, f, b, _, p in parts])
+        best, again = search.Best(len(asked), 5), search.Best(len(asked), 5)
+        shard.search_all(search.Queries(asked), 90.0, best)
+        again.floor, shard.entered, shard.passed = best.floor.copy(), 0, 0
+        shard.search_all(search.Queries(asked), 90.0, again)
+        assert shard.passed > 0.4 * (shard.entered + shard.passed)
+        for q, (_, terms) in enumerate(asked):
+            for found in (best, again):
+                assert list(zip(found.score[found.query == q].tolist(), found.ident[found.query == q].tolist())) == shard.search(terms, 90.0, 5), q
+    assert np.array_equal(best.floor, again.floor)
+
+
+def test_many_queries_take_one_pass(spark, monkeypatch):
+    """1500 queries read the index once; equal ones in another order of words, and terms of no document, change nothing."""
+    texts = [f"w{i % 700} w{i % 11} w{i % 3}" for i in range(900)]
+    asked = [(i, f"w{i % 700} w{i % 5}" if i % 2 else f"unknown{i} w{i % 5} w{i % 700}") for i in range(1500)]
+    made, searcher = [], search._searcher
+    monkeypatch.setattr(search, "_searcher", lambda *x: made.append(x) or searcher(*x))
+    docs, queries_ = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(asked, "item_id bigint, text string")
+    got = sorted((r["item_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in search.top_k(docs, queries_, 3).collect())
+    assert len(made) == 1
+    assert got == [(a, b, c, round(s, 5)) for a, b, c, s in brute_search(list(enumerate(texts)), asked, 3)]
